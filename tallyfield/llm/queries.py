@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, rule_ledger
+from . import decontaminate, rule_ledger, sanitise
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of personal data and those of the terms that reveal them, for every document."""
+    rows = sanitise.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(sanitise.written(F.col("base")), 256)
+    return rows.select(
+        "row.doc_id", *[count(k) for k in sanitise.KINDS], digest.alias("base_sha256"), sanitise.written(F.col("spans")).alias("spans")
+    )
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, rule bits and the verdict of the current policy for every document."""
     rows = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")), "v1")
@@ -28,6 +38,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_sanitisation": op2_sanitisation,
     "op3_rule_ledger": op3_rule_ledger,
     "op5_decontamination": op5_decontamination,
 }
