@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,11 @@ def cut(frame: DataFrame) -> DataFrame:
 def in_training(doc_id: Column, modulus: int, left_out: int) -> Column:
     """Rows that may be learned from; a null id is one of them."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)) != left_out, F.lit(True))
+
+
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared checkpoint folder: read from there, it needs no recomputation."""
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

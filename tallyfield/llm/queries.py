@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, rule_ledger, sanitise
+from . import context_tree, decontaminate, rule_ledger, sanitise
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text under a context tree learned from six sevenths of them."""
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op2_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans of personal data and those of the terms that reveal them, for every document."""
     rows = sanitise.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -38,6 +43,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_context_tree": op1_context_tree,
     "op2_sanitisation": op2_sanitisation,
     "op3_rule_ledger": op3_rule_ledger,
     "op5_decontamination": op5_decontamination,
