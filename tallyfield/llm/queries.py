@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, rule_ledger, sanitise
+from . import context_tree, decontaminate, near_duplicates, rule_ledger, sanitise
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,11 +42,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are similar by 80 percent or more."""
+    rows = near_duplicates.classify(table(spark, sf_dir, "documents"), size=2)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_context_tree": op1_context_tree,
     "op2_sanitisation": op2_sanitisation,
     "op3_rule_ledger": op3_rule_ledger,
     "op5_decontamination": op5_decontamination,
+    "op7_near_duplicates": op7_near_duplicates,
 }
 
 _SPACE = r"[^ \t\n\x0B\x0C\r]+"
