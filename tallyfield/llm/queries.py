@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, near_duplicates, rule_ledger, sanitise
+from . import context_tree, decontaminate, near_duplicates, packing, rule_ledger, sanitise
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie on every machine; they are not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in sequences of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles are similar by 80 percent or more."""
     rows = near_duplicates.classify(table(spark, sf_dir, "documents"), size=2)
@@ -53,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op2_sanitisation": op2_sanitisation,
     "op3_rule_ledger": op3_rule_ledger,
     "op5_decontamination": op5_decontamination,
+    "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
 }
 
