@@ -66,3 +66,18 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, sample: int, sample_bytes: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of a bounded sample: at most ``sample`` rows per class by hash of the id, none of the rows left out.
+
+    The sample is drawn from the labels, so only its texts meet the documents, in a broadcast of at most
+    twice ``sample`` ids.
+    """
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label is not null")
+    known = known.where(in_training(F.col("__id"), modulus, left_out))
+    order = [F.xxhash64("__id"), F.col("__id")]
+    drawn = known.where("__label = 1").orderBy(*order).limit(sample).union(known.where("__label = 0").orderBy(*order).limit(sample))
+    found = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).where(F.octet_length("text") <= sample_bytes)
+    rows = found.select("__id", "__label", "text").toPandas().sort_values(["__id", "text"], kind="stable")
+    return rows["text"].tolist(), rows["__label"].astype(int).tolist()

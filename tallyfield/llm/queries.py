@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, near_duplicates, packing, rule_ledger, sanitise
+from . import context_tree, decontaminate, near_duplicates, packing, passage_quality, rule_ledger, sanitise, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,17 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of toxicity of every document by compression with two dictionaries."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality of every document by gated attention over its passages."""
+    rows = passage_quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("row.doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_context_tree": op1_context_tree,
     "op2_sanitisation": op2_sanitisation,
@@ -67,6 +78,8 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_toxicity": op8_toxicity,
+    "op10_passage_quality": op10_passage_quality,
 }
 
 _SPACE = r"[^ \t\n\x0B\x0C\r]+"
