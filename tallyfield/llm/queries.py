@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, near_duplicates, packing, passage_quality, rule_ledger, sanitise, toxicity
+from . import context_tree, decontaminate, main_text, near_duplicates, packing, passage_quality, piece_counts, rule_ledger, sanitise, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document and the greedy longest-match pieces that they fall into."""
+    return piece_counts.count(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside any benchmark window of ten words."""
     rows = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,6 +70,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of good quality of every document by gated attention over its passages."""
     rows = passage_quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -75,10 +85,12 @@ QUERIES: dict[str, Query] = {
     "op1_context_tree": op1_context_tree,
     "op2_sanitisation": op2_sanitisation,
     "op3_rule_ledger": op3_rule_ledger,
+    "op4_piece_counts": op4_piece_counts,
     "op5_decontamination": op5_decontamination,
     "op6_packing": op6_packing,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
+    "op9_main_text": op9_main_text,
     "op10_passage_quality": op10_passage_quality,
 }
 
