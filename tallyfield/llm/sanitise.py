@@ -40,6 +40,8 @@ PATTERNS = {
 #: A text without this has no valid match of the kind.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "term": "[TERM]"}
+#: Documents with chosen terms up to which they are broadcast; each has at most its distinct terms.
+BROADCAST_ROWS = 100_000
 SPAN = "array<struct<kind:string,at:int,end:int,value:string>>"
 
 
@@ -137,7 +139,7 @@ def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float,
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, terms' spans): every occurrence of a chosen term in its documents, by the tokens' running length."""
-    chosen = terms.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("chosen"))
+    chosen = common.cut(terms.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("chosen")))
     tokens = F.regexp_extract_all(F.col("text"), F.lit(r"[^ \t-\r]+|[ \t-\r]+"), F.lit(0))
     start = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("spans"))
 
@@ -149,7 +151,10 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
         span = F.struct(kind.alias("kind"), a["end"].alias("at"), (a["end"] + F.length(bare)).alias("end"), bare.alias("value"))
         return F.struct(end.alias("end"), F.when(removed.isNotNull(), F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
-    return texts.dropDuplicates(["key"]).join(chosen, "key").select("key", F.aggregate(tokens, start, step, lambda a: a["spans"]).alias("more"))
+    # the documents are dealt by key only if the chosen ones are too many to broadcast
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = texts.join(F.broadcast(chosen) if few else chosen, "key")
+    return found.select("key", F.aggregate(tokens, start, step, lambda a: a["spans"]).alias("more")).dropDuplicates(["key"])
 
 
 def spans(
