@@ -110,14 +110,15 @@ ORACLES: dict[str, str] = {
         m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
                      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
                      len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals, len(l)::BIGINT AS n_lines,
+                     len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_same,
                      (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
                      coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
               FROM w LEFT JOIN n USING (r))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
                NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words
-                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_dup_lines > 3 * n_lines
-                    OR 10 * n_capitals > 4 * word_chars) AS kept
+                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
+                    OR 10 * n_capitals > 4 * word_chars OR 10 * n_same > 2 * n_words) AS kept
         FROM m""",
     "op5_decontamination": r"""
         WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(

@@ -24,6 +24,7 @@ RULES = {
     "WORD_LENGTH": 3,
     "DUPLICATE_LINES": 4,
     "SHOUTING": 5,
+    "STUTTER": 6,
 }
 #: Masks by version: a document is kept if none of the mask's bits failed.
 POLICIES = {
@@ -69,6 +70,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit(r"[A-Z]")).cast("long").alias("n_capitals"),
+        F.size(F.filter(F.transform("words", lambda w, i: w == F.get("words", i - 1)), lambda same: same)).cast("long").alias("n_same_as_last"),
         lines.alias("lines"),
         _windows("words").alias("hashes"),
     )
@@ -78,6 +80,7 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         "word_chars",
         "n_symbols",
         "n_capitals",
+        "n_same_as_last",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _covered("hashes").cast("long").alias("n_repeat_words"),
@@ -91,8 +94,9 @@ def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         "REPEATED_WINDOWS": 100 * F.col("n_repeat_words") > 20 * F.col("n_words"),
         "SYMBOLS": 10 * F.col("n_symbols") > F.col("n_words"),
         "WORD_LENGTH": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
-        "DUPLICATE_LINES": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "DUPLICATE_LINES": (F.col("n_dup_lines") > 2) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
         "SHOUTING": 10 * F.col("n_capitals") > 4 * F.col("word_chars"),
+        "STUTTER": 10 * F.col("n_same_as_last") > 2 * F.col("n_words"),
     }
     bits = sum((F.when(test, F.lit(1 << RULES[name])).otherwise(F.lit(0)) for name, test in fails.items()), F.lit(0))
     return measure(docs, id_column, text_column).withColumn("fail_bits", bits.cast("int"))
