@@ -127,9 +127,7 @@ def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float,
     )
     vocabulary = F.array_distinct(F.transform(common.words(F.lower("text")), lambda t: F.regexp_replace(t, "[.,;:!?]$", "")))
     n_term = texts.select(F.explode(vocabulary).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.agg(F.count("*").alias("n"))
-    # the total is one row, so this is no product of tables
-    scored = pairs.join(n_term, "term").join(F.broadcast(total))
+    scored = pairs.join(n_term, "term").withColumn("n", F.lit(texts.count()))
     mutual = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     share = F.when(F.col("n") > F.col("n_e"), mutual / F.log2(F.col("n") / F.col("n_e"))).otherwise(0.0)
     over = scored.withColumn("share", share).where(F.col("share") >= generalise_at)
