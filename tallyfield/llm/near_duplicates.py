@@ -7,11 +7,14 @@ estimates high similarities precisely (J = 1 + n / 4k * ln(1 - 2x / n) for x odd
 
 Classes that share a band hash are candidates. They are never expanded into pairs:
 
-1. the stars of the bands' buckets give candidate families (connected components, unverified);
-2. in each family a few hubs meet all members; sketches screen, full sets confirm;
-3. members outside the family's largest verified component meet the members of other components with
-   which they share a band, screened by sketches and confirmed on full sets. Links inside a component
-   need no test, since they change nothing.
+1. band hashes that one class alone has are dropped, which leaves few classes; only their sets are kept;
+2. every class is compared with the hub of each of its buckets, by sketches, and the two most similar of
+   those hubs are confirmed on full sets; that gives components;
+3. in buckets that still hold several components, the classes outside the bucket's largest component meet
+   the classes of other components. The join itself screens them, by size, sketch and a bound on the
+   intersection from 16-bit remainders of the shingles, and takes a pair in its first shared band only,
+   so that little more than true links leaves it; those are confirmed on full sets. Links inside a
+   component need no test, since they change nothing.
 
 With 4 samples in each of 32 bands a pair of similarity 0.8 is missed with probability 5e-8.
 
@@ -22,6 +25,8 @@ document; an empty table gives an empty result. Shingles are compared by 64-bit
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,10 +36,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLES, BANDS, ROWS, BITS = 256, 32, 4, 1024
-HUBS = 4
+HUBS = 2
 #: Sketch estimates this far below the threshold are still confirmed: four standard deviations.
-SLACK = 0.12
-#: Rows of the family table up to which it is broadcast; beyond, Spark deals both sides.
+SLACK = 0.11
+#: Rows of the table of candidate classes up to which it is broadcast; beyond, Spark deals both sides.
 BROADCAST_ROWS = 1_000_000
 
 _seeds = np.random.default_rng(20).integers(0, 2**63, (3, SAMPLES), dtype=np.uint64)
@@ -104,11 +109,15 @@ def _signatures(batches):
         })
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """Similarity by the odd bits of two sketches."""
-    odd = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    inside = F.greatest(1 - 2 * odd / F.lit(float(BITS)), F.lit(1e-9))
-    return 1 + F.lit(BITS / (4.0 * SAMPLES)) * F.log(inside)
+def most_odd_bits(percent: int) -> int:
+    """Odd bits of two sketches at the lowest estimate that is still confirmed."""
+    return int(BITS / 2 * (1 - np.exp(-4 * SAMPLES / BITS * (1 - percent / 100 + SLACK))))
+
+
+def odd_bits(a: str, b: str) -> Column:
+    """Population count of the XOR of two sketches held in numbered columns."""
+    each = [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(BITS // 64)]
+    return reduce(lambda x, y: x + y, each)
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -123,33 +132,33 @@ def components(edges: DataFrame) -> DataFrame:
     Every round replaces neighbours by the smallest of a neighbourhood; the number of rounds is
     logarithmic. Minima are aggregated before they meet the edges again.
     """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, before = common.cut(edges), None
+    edges = common.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # done when every node has one edge and no label has one of its own
+        ends = edges.select("u", F.lit(1).alias("n"), F.lit(0).alias("m")).union(edges.select("v", F.lit(0), F.lit(1)))
+        wrong = ends.groupBy("u").agg(F.sum("n").alias("n"), F.max("m").alias("m")).where("n > 1 OR n = 1 AND m = 1")
+        if wrong.limit(1).count() == 0:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = common.cut(small)
-        # stable when every node has one edge and no label has one of its own
-        facts = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == facts:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        before = facts
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+        edges = common.cut(small.where("u <> v").distinct())
 
 
-def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Members beside others of their family."""
-    rename = lambda d, p: d.select("family", *[F.col(c).alias(p + c) for c in ("node", "bands", "sketch", "shingles", "label")])
-    return rename(left, "a_").join(rename(right, "b_"), "family")
+def _sketched(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with their odd bits, those that may reach the threshold."""
+    side = lambda p: found.select(F.col("node").alias(p), *[F.col("sketch")[i].alias(f"{p}{i}") for i in range(BITS // 64)])
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.select("a", "b", odd_bits("a", "b").alias("odd")).where(F.col("odd") <= most_odd_bits(percent))
 
 
-def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v): screened by sketches, confirmed on full sets."""
-    near = estimate(F.col("a_sketch"), F.col("b_sketch")) >= percent / 100 - SLACK
-    return pairs.where(near).where(similar(F.col("a_shingles"), F.col("b_shingles"), percent)).select(F.col("a_node").alias("u"), F.col("b_node").alias("v"))
+def _confirmed(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of pairs (a, b) whose full sets are similar."""
+    side = lambda p: found.select(F.col("node").alias(p), F.col("shingles").alias(f"set_{p}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.where(similar(F.col("set_a"), F.col("set_b"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def links(docs: DataFrame, rows: DataFrame, percent: int, size: int, text_column: str, key: Column) -> DataFrame:
@@ -157,35 +166,46 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, size: int, text_column
     first = F.min(F.struct("doc_id", "key"))
     classes = rows.where("node is not null").groupBy("node").agg(first["key"].alias("key"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
     classes = common.written(classes, "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v <> most")
-    families = components(banded.join(stars.select("band", "v"), "band").select(F.col("node").alias("u"), "v"))
-    families = families.union(families.select(F.col("label").alias("node"), "label").distinct())
-    members = common.written(classes.join(families.withColumnRenamed("label", "family"), "node"), "families")
+    banded = classes.select("node", F.posexplode("bands").alias("place", "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = common.written(banded.join(shared, "band"), "buckets")
+    # the hub of a bucket is the class with most neighbours in all its buckets: the least changed copy
+    degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
+    hubs = buckets.select("band", "node").join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
+
+    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
+    members = common.cut(classes.join(buckets.select("node").distinct(), "node").select("key", "node", "sketch", short.alias("bands")))
     few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = members.select("key", "node", "family", "bands", "sketch")
     texts = docs.select(key.alias("key"), common.whole_text(text_column).alias("text"))
-    found = texts.join(F.broadcast(wanted) if few else wanted, "key").dropDuplicates(["node"])
-    found = common.written(found.select("node", "family", "bands", "sketch", F.array_distinct(shingles(F.col("text"), size)).alias("shingles")), "members")
-
-    order = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("node"), "node"))
-    hubs = found.select("family", "node").withColumn("place", order).where(F.col("place") <= HUBS).select("node")
-    alone = found.withColumn("label", F.col("node"))
-    hub_rows = alone.join(hubs, "node", "left_semi")
-    near_hubs = common.written(_confirmed(_sides(alone, hub_rows).where("a_node <> b_node"), percent), "links")
-
-    labels = components(near_hubs)
-    labelled = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = common.written(labelled, "labelled")
-    sizes = labelled.groupBy("family", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = labelled.join(largest.select("family", F.col("top.label").alias("top")), "family")
-    rest = open_rows.where("label <> top")
-    # two members outside the largest component would meet twice
-    once = (F.col("b_label") == F.col("b_top")) | (F.col("a_node") < F.col("b_node"))
-    pairs = _sides(rest, open_rows).join(largest.select("family", F.col("top.label").alias("b_top")), "family")
-    pairs = pairs.where(F.col("a_label") != F.col("b_label")).where(once).where(F.arrays_overlap("a_bands", "b_bands"))
-    return near_hubs.union(_confirmed(pairs, percent))
+    sets = texts.join(F.broadcast(members) if few else members, "key").select("node", "sketch", "bands", F.array_distinct(shingles(F.col("text"), size)).alias("shingles"))
+    found = common.written(sets.dropDuplicates(["node"]), "members")
+
+    to_hub = buckets.select("band", F.col("node").alias("a")).join(hubs, "band").select("a", F.col("hub").alias("b"))
+    close = _sketched(to_hub.where("a <> b").distinct(), found, percent)
+    best = F.row_number().over(Window.partitionBy("a").orderBy("odd", "b"))
+    hub_links = common.written(_confirmed(close.withColumn("place", best).where(F.col("place") <= HUBS), found, percent), "links")
+
+    labels = components(hub_links)
+    labelled = buckets.join(labels, "node", "left").select("band", "place", "node", F.coalesce("label", "node").alias("label"))
+    sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", "top")
+    words = [F.col("sketch")[i].alias(f"_{i}") for i in range(BITS // 64)]
+    rest = F.array_distinct(F.transform("shingles", lambda x: (x % 32749).cast("smallint")))
+    facts = found.select("node", F.size("shingles").alias("n"), "bands", rest.alias("rest"), *words)
+    still = common.written(labelled.join(mixed, "band").join(facts, "node"), "mixed")
+    left = still.where("label <> top").select("band", *[F.col(c).alias(f"a_{c.removeprefix('_')}") for c in still.columns if c not in ("band", "top")])
+    right = still.select("band", "top", *[F.col(c).alias(f"b_{c.removeprefix('_')}") for c in still.columns if c not in ("band", "top", "place")])
+    # two classes outside of the largest component would meet twice
+    once = (F.col("b_label") == F.col("top")) | (F.col("a_node") < F.col("b_node"))
+    sized = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    before = F.exists(F.sequence(F.lit(0), F.col("a_place") - 1), lambda i: F.get("a_bands", i) == F.get("b_bands", i))
+    first_band = F.when(F.col("a_place") > 0, ~before).otherwise(True)
+    # remainders that coincide within a set hide at most as many common shingles
+    both = F.size(F.array_intersect("a_rest", "b_rest")) + F.least(F.col("a_n") - F.size("a_rest"), F.col("b_n") - F.size("b_rest"))
+    bound = 100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)
+    near = (F.col("a_label") != F.col("b_label")) & once & sized & (odd_bits("a_", "b_") <= most_odd_bits(percent)) & first_band & bound
+    pairs = left.join(right, "band").where(near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return hub_links.union(_confirmed(pairs, found, percent))
 
 
 def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
