@@ -46,20 +46,31 @@ def _padded(words: list[bytes]) -> bytes:
     return b" " + b" ".join(words) + b" "
 
 
+def _grams(words: list[bytes]) -> np.ndarray:
+    """The distinct byte n-grams of a text, packed into integers."""
+    data = np.frombuffer(_padded(words), np.uint8).astype(np.int64)
+    n = max(0, len(data) - GRAM + 1)
+    return np.unique(sum(data[k : k + n] << (8 * (GRAM - 1 - k)) for k in range(GRAM)))
+
+
 def _marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
     """Byte n-grams that hold many toxic texts and few ordinary ones, chosen greedily, and those as telling beside them."""
-    grams = lambda words: {b[i : i + GRAM] for b in [_padded(words)] for i in range(len(b) - GRAM + 1)}
-    in_toxic = [grams(x) for x in toxic]
-    n_toxic, n_ordinary = Counter(g for x in in_toxic for g in x), Counter(g for x in ordinary for g in grams(x))
+    in_toxic = [_grams(x) for x in toxic]
+    found, n_toxic = np.unique(np.concatenate(in_toxic), return_counts=True)
+    found, n_toxic = found[n_toxic >= 5], n_toxic[n_toxic >= 5]
+    n_ordinary = np.zeros(len(found), np.int64)
+    for x in ordinary:
+        n_ordinary[np.isin(found, _grams(x), assume_unique=True)] += 1
     rate = len(toxic) / max(1, len(ordinary))
-    some = {g for g, n in n_toxic.items() if n >= 5 and n > 4 * rate * (n_ordinary[g] + 1)}
-    strong = {g for g in some if n_toxic[g] >= 0.015 * len(toxic) and n_toxic[g] > 8 * rate * (n_ordinary[g] + 1)}
-    chosen, left = set(), [x & some for x in in_toxic]
+    some = n_toxic > 4 * rate * (n_ordinary + 1)
+    strong = found[some & (n_toxic >= 0.015 * len(toxic)) & (n_toxic > 8 * rate * (n_ordinary + 1))]
+    cost = dict(zip(found[some].tolist(), (2 * rate * n_ordinary[some]).tolist(), strict=True))
+    chosen, left = set(), [set(x[np.isin(x, found[some], assume_unique=True)].tolist()) for x in in_toxic]
     while True:
-        worth = {g: n - 2 * rate * n_ordinary[g] for g, n in Counter(g for x in left for g in x).items()}
+        worth = {g: n - cost[g] for g, n in Counter(g for x in left for g in x).items()}
         best = max(worth, key=lambda g: (worth[g], g), default=None)
         if best is None or worth[best] < max(2, 0.005 * len(toxic)):
-            return chosen | strong
+            return {g.to_bytes(GRAM, "big") for g in chosen | set(strong.tolist())}
         chosen.add(best)
         left = [x for x in left if best not in x]
 
@@ -76,8 +87,8 @@ class Model:
     """The two dictionaries and the calibration; picklable, compressors are made per worker."""
 
     def __init__(self, texts: list[str], toxic: np.ndarray, width: int = WIDTH):
-        words = [windows(t) for t in texts]
         first = np.arange(len(texts)) % 2 == 0
+        words = [windows(t) if f else [] for t, f in zip(texts, first, strict=True)]
         part = lambda label: [w for w, f, y in zip(words, first, toxic, strict=True) if f and y == label]
         marks = _marks(part(1), part(0))
         telling = lambda w: any(w[i : i + GRAM] in marks for i in range(len(w) - GRAM + 1))
