@@ -19,8 +19,8 @@ Classes that share a band hash are candidates. They are never expanded into pair
 With 4 samples in each of 32 bands a pair of similarity 0.8 is missed with probability 5e-8.
 
 Defined results: a text without words has the empty set and is linked with nothing; fewer words than a
-shingle are one shingle, the whole sequence; ties take the smallest id; rows that repeat an id are one
-document; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
+shingle are one shingle, the whole sequence; ties take the smallest id; rows that repeat id and text are one
+row; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -208,8 +208,8 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, size: int, text_column
     return hub_links.union(_confirmed(pairs, found, percent))
 
 
-def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, key, n_shingles, component_id (the smallest id reachable)."""
+def _labelled(docs: DataFrame, id_column: str, text_column: str, size: int, percent: int) -> DataFrame:
+    """Per row: doc_id, key, n_shingles, label (the component; null for a text without words)."""
     key = common.row_key(id_column, text_column)
     read = docs.select(F.col(id_column).alias("doc_id"), key.alias("key"), shingles(common.whole_text(text_column), size).alias("shingles"))
     kind = docs.schema[id_column].dataType.simpleString()
@@ -217,15 +217,26 @@ def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     rows = common.written(read.mapInArrow(_signatures, schema), "signatures")
     labels = components(links(docs, rows, percent, size, text_column, key))
     joined = rows.select("doc_id", "key", "node", "n_shingles").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    joined = common.written(joined, "labels")
+    return common.written(joined.select("doc_id", "key", "n_shingles", "label"), "labels")
+
+
+def classify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, key, n_shingles, component_id (the smallest id reachable)."""
+    joined = _labelled(docs, id_column, text_column, size, percent)
     smallest = joined.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return joined.join(smallest, "label", "left").select("doc_id", "key", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """One document of each component, the one of the smallest id, with all columns of docs."""
-    found = classify(docs, id_column, text_column, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("key").alias("__kept"))
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, the one of the smallest id (null last), with all columns of docs.
+
+    Rows are chosen by component and not by id: null and repeated ids lose only near-duplicates, and of
+    the texts without words only rows that repeat id and text.
+    """
+    found = _labelled(docs, id_column, text_column, size, percent)
+    alone = F.when(F.col("label").isNull(), F.col("key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"]
+    kept = found.groupBy("label", alone.alias("alone")).agg(first.alias("__kept"))
     few = docs.withColumn("__key", common.row_key(id_column, text_column)).join(kept.select("__kept"), F.col("__key") == F.col("__kept"), "left_semi")
     repeated = found.groupBy("key").count().where("count > 1").limit(1).count() > 0
     return (few.dropDuplicates(["__key"]) if repeated else few).drop("__key")

@@ -81,6 +81,15 @@ def test_near_duplicates(spark, size):
     assert near_duplicates.classify(frame(spark, [])).count() == 0
 
 
+def test_null_and_repeated_ids_lose_only_duplicates(spark):
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(40))
+    near = " ".join([*text("a").split()[:-1], "end"])
+    docs = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (None, ""), (7, text("d")), (7, text("e")), (7, ""), (8, near), (9, text("e"))]
+    kept = near_duplicates.deduplicate(frame(spark, docs)).collect()
+    want = [(None, text("b")), (None, text("c")), (None, ""), (7, text("d")), (7, text("e")), (7, ""), (8, near)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(str, want))
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     errors = []
