@@ -7,7 +7,8 @@ check is dropped. Their values are the protected entities. How strongly a term `
     disclosure(t, e) = log2(n(t, e) * D / (n(t) * n(e))) / log2(D / n(e)),   at most 1
 
 with D documents, n(t) and n(e) those that hold the term or the entity, and n(t, e) those where the
-term stands within ``near`` words of the entity. A pair needs ``support`` documents with different
+term stands within ``near`` words of the entity, across line ends. Terms are counted and found without the
+punctuation around them. A pair needs ``support`` documents with different
 contexts, so that copies of one passage prove nothing. In documents that hold the entity, terms whose
 disclosure reaches ``remove_at`` are removed, those that reach ``generalise_at`` become ``[TERM]``.
 
@@ -99,19 +100,37 @@ def base_spans(text: Column) -> Column:
     return ordered(F.concat(*[_spans(k, text) for k in KINDS]))
 
 
+def bare(token: Column) -> Column:
+    """A token without the punctuation before and after it; possessive and anchored, so in linear time."""
+    return F.regexp_replace(token, r"^[^\p{L}\p{M}\p{N}]++|(?<=[\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}]++$", "")
+
+
+def _nearest(short: Column, whole: Column, was_cut: Column, near: int, backwards: bool) -> Column:
+    """The ``near`` words next to a span, nearest first; the whole side is read only if a short one may have split the last.
+
+    A token that touches the span is part of the span's own token, and no word.
+    """
+
+    def split(side: Column) -> Column:
+        own = F.regexp_replace(side, r"(?<![^ \t-\r])[^ \t-\r]++$" if backwards else r"^[^ \t-\r]++", "")
+        found = common.words(F.lower(own))
+        return F.reverse(found) if backwards else found
+
+    return F.slice(_let(split(short), lambda w: F.when(was_cut & (F.size(w) <= near), split(whole)).otherwise(w)), 1, near)
+
+
 def contexts(texts: DataFrame, near: int) -> DataFrame:
-    """(key, entity, terms near it, a hash of the context) of every base span."""
+    """(key, entity, terms near it, a hash of the context) of every base span; words count across line ends."""
     held = texts.where(F.col("text").rlike("|".join(NEEDS.values()))).withColumn("spans", base_spans(F.col("text")))
     each = held.select("key", "text", F.explode("spans").alias("s"))
-    before = F.substring_index(F.substring(F.col("text"), F.greatest(F.col("s.at") + 1 - 40 * near, F.lit(1)), F.least(F.col("s.at"), F.lit(40 * near))), "\n", -1)
-    after = F.substring_index(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(40 * near)), "\n", 1)
+    text, at, end, some = F.col("text"), F.col("s.at"), F.col("s.end"), 40 * near
     entity = F.concat(F.col("s.kind"), F.lit(":"), F.lower("s.value"))
-    # words that the cut at 40 characters a word or the span itself may have split are left out
-    left = F.slice(F.reverse(common.words(F.lower(before))), 1, near)
-    right = F.slice(common.words(F.lower(after)), 1, near)
-    terms = F.array_distinct(F.concat(left, right))
-    plain = F.filter(terms, lambda t: t.rlike(r"^\p{L}[\p{L}\p{M}'-]+[.,;:!?]?$"))
-    return each.select("key", entity.alias("entity"), F.transform(plain, lambda t: F.regexp_replace(t, "[.,;:!?]$", "")).alias("terms"), F.xxhash64(before, after).alias("context"))
+    before = F.substring(text, F.greatest(at + 1 - some, F.lit(1)), F.least(at, F.lit(some)))
+    left = _nearest(before, F.substring(text, F.lit(1), at), at > some, near, True)
+    right = _nearest(F.substring(text, end + 1, F.lit(some)), F.substring(text, end + 1, F.length(text)), F.length(text) - end > some, near, False)
+    sides = each.select("key", entity.alias("entity"), left.alias("left"), right.alias("right"))
+    terms = F.array_distinct(F.transform(F.concat("left", "right"), bare))
+    return sides.select("key", "entity", F.filter(terms, lambda t: F.length(t) > 1).alias("terms"), F.xxhash64("left", "right").alias("context"))
 
 
 def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
@@ -125,7 +144,7 @@ def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float,
         .agg(F.count_distinct("key").alias("n_te"), F.count_distinct("context").alias("n_seen"))
         .where(F.col("n_seen") >= support)
     )
-    vocabulary = F.array_distinct(F.transform(common.words(F.lower("text")), lambda t: F.regexp_replace(t, "[.,;:!?]$", "")))
+    vocabulary = F.array_distinct(F.transform(common.words(F.lower("text")), bare))
     n_term = texts.select(F.explode(vocabulary).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(n_term, "term").withColumn("n", F.lit(texts.count()))
     mutual = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
@@ -143,10 +162,12 @@ def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     def step(a: Column, x: Column) -> Column:
         end = a["end"] + F.length(x)
-        bare = F.regexp_replace(x, "[.,;:!?]$", "")
-        removed = F.col("chosen")[F.lower(bare)]
+        value = bare(x)
+        removed = F.col("chosen")[F.lower(value)]
         kind = F.when(removed, F.lit("removed")).otherwise(F.lit("term"))
-        span = F.struct(kind.alias("kind"), a["end"].alias("at"), (a["end"] + F.length(bare)).alias("end"), bare.alias("value"))
+        # the punctuation before the value stays in the text
+        at = a["end"] + F.length(F.regexp_extract(x, r"^[^\p{L}\p{M}\p{N}]*+", 0))
+        span = F.struct(kind.alias("kind"), at.alias("at"), (at + F.length(value)).alias("end"), value.alias("value"))
         return F.struct(end.alias("end"), F.when(removed.isNotNull(), F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
     # the documents are dealt by key only if the chosen ones are too many to broadcast

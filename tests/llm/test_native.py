@@ -134,3 +134,18 @@ def test_terms_that_reveal_an_entity(spark):
     assert all(texts[i] == t for i, t in docs[:60])
     assert hashlib.sha256(b"").hexdigest() == sanitise.spans(frame(spark, [(1, None)])).select(F.sha2(sanitise.written(F.col("base")), 256)).first()[0]
     assert sanitise.sanitise(frame(spark, [])).count() == 0
+
+
+def test_terms_across_lines_and_in_punctuation(spark):
+    rng = random.Random(4)
+    plain = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=12))
+    docs = [(i, plain()) for i in range(60)]
+    docs += [(100 + i, f"{plain()} {i}\nZorro99 E-4711\nmail: z@y.org {plain()}") for i in range(4)]
+    docs += [(110, f"{plain()} (zorro99), \"E-4711\"! z@y.org {plain()}")]
+    # a word longer than the window's characters hides no word behind it
+    docs += [(120 + i, f"{plain()} nick-{'x' * 400} q@p.org {plain()}") for i in range(4)]
+    texts = {r["doc_id"]: r["text"] for r in sanitise.sanitise(frame(spark, docs)).collect()}
+    assert all("orro99" not in texts[i] and "4711" not in texts[i] for i in (100, 101, 102, 103, 110))
+    assert "(), \"\"! [EMAIL]" in texts[110]
+    assert all("nick" not in texts[120 + i] for i in range(4))
+    assert all(texts[i] == t for i, t in docs[:60])
