@@ -9,11 +9,12 @@ check is dropped. Their values are the protected entities. How strongly a term `
 with D documents, n(t) and n(e) those that hold the term or the entity, and n(t, e) those where the
 term stands within ``near`` words of the entity, across line ends. Terms are counted and found without the
 punctuation around them. A pair needs ``support`` documents with different
-contexts, so that copies of one passage prove nothing. In documents that hold the entity, terms whose
-disclosure reaches ``remove_at`` are removed, those that reach ``generalise_at`` become ``[TERM]``.
+contexts, so that copies of one passage prove nothing. In every document, whether it holds the entity
+or not, terms whose disclosure reaches ``remove_at`` are removed, those that reach ``generalise_at``
+become ``[TERM]``.
 
 Everything is DataFrame code. Document counts of terms are pre-aggregated before they are dealt by
-term; only entity contexts (not texts) are joined.
+term; only entity contexts and chosen terms (not texts) are joined.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans each; an empty
 table gives an empty result.
@@ -41,7 +42,7 @@ PATTERNS = {
 #: A text without this has no valid match of the kind.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "term": "[TERM]"}
-#: Documents with chosen terms up to which they are broadcast; each has at most its distinct terms.
+#: Chosen terms, and documents with chosen terms, up to which they are broadcast; each document has at most its distinct terms.
 BROADCAST_ROWS = 100_000
 SPAN = "array<struct<kind:string,at:int,end:int,value:string>>"
 
@@ -134,7 +135,7 @@ def contexts(texts: DataFrame, near: int) -> DataFrame:
 
 
 def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(key, term, removed) for the documents that hold an entity which the term reveals."""
+    """(key, term, removed) for every document that holds a term which reveals an entity, be the entity there or not."""
     found = common.cut(contexts(texts, near))
     n_entity = found.groupBy("entity").agg(F.count_distinct("key").alias("n_e"), F.count_distinct("context").alias("n_context"))
     pairs = (
@@ -145,13 +146,16 @@ def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float,
         .where(F.col("n_seen") >= support)
     )
     vocabulary = F.array_distinct(F.transform(common.words(F.lower("text")), bare))
-    n_term = texts.select(F.explode(vocabulary).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    held = texts.select("key", F.explode(vocabulary).alias("term"))
+    n_term = held.groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(n_term, "term").withColumn("n", F.lit(texts.count()))
     mutual = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     share = F.when(F.col("n") > F.col("n_e"), mutual / F.log2(F.col("n") / F.col("n_e"))).otherwise(0.0)
     over = scored.withColumn("share", share).where(F.col("share") >= generalise_at)
-    chosen = over.select("entity", "term", (F.col("share") >= remove_at).alias("removed"))
-    return found.select("key", "entity").distinct().join(chosen, "entity").groupBy("key", "term").agg(F.max("removed").alias("removed"))
+    # one row a term, whatever the number of its entities
+    chosen = common.cut(over.groupBy("term").agg(F.max(F.col("share") >= remove_at).alias("removed")))
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return held.join(F.broadcast(chosen) if few else chosen, "term")
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -149,3 +149,15 @@ def test_terms_across_lines_and_in_punctuation(spark):
     assert "(), \"\"! [EMAIL]" in texts[110]
     assert all("nick" not in texts[120 + i] for i in range(4))
     assert all(texts[i] == t for i, t in docs[:60])
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_terms_are_replaced_where_the_entity_is_not(spark, monkeypatch, rows):
+    monkeypatch.setattr(sanitise, "BROADCAST_ROWS", rows)
+    rng = random.Random(6)
+    plain = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=12))
+    docs = [(i, plain()) for i in range(60)]
+    docs += [(100 + i, f"{plain()} zorro wrote {i} from z@y.org today") for i in range(5)] + [(200, "alpha Zorro, beta")]
+    texts = {r["doc_id"]: r["text"] for r in sanitise.sanitise(frame(spark, docs)).collect()}
+    assert texts[200] in ("alpha , beta", "alpha [TERM], beta")
+    assert all(texts[i] == t for i, t in docs[:60])
