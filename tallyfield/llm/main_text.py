@@ -51,33 +51,41 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+", re.I)
 
+#: How sure a mark is: a word beside one of content, or of the whole page's class; a word alone; an element that is never content or hidden.
+WEAK, PLAIN, SURE = 1, 2, 3
+#: Words of link-poor text without which a page is taken to have lost its main text to marks.
+LITTLE = 40
+
 Block = namedtuple("Block", "text words linked article marked heading")
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether an element's name, role, class or visibility marks it as no content."""
+def _marked(tag: str, attributes: str) -> int:
+    """How surely an element's name, role, class or visibility marks it as no content; 0 for not at all."""
     if tag in NEVER:
-        return True
+        return SURE
+    level = 0
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return SURE
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return SURE
             continue
         found = {w.lower() for w in _WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))}
         if found & MARKS or found & SOFT_MARKS and not found & CONTENT:
-            return True
-    return False
+            level = max(level, WEAK if found & CONTENT else PLAIN)
+    # what the whole page is called says nothing about its parts
+    return 0 if tag in ("body", "main") else level
 
 
 def blocks(page: str | None) -> list[Block]:
     """The page's text blocks in order, white space as single spaces."""
     page, out = page or "", []
     parts, linked, links = [], 0, 0
-    stack: list[tuple[str, bool, bool]] = []
-    article = marked = heading = leaf = False
+    stack: list[tuple[str, bool, int]] = []
+    article = heading = False
+    marked = leaf = 0
     at = 0
 
     def close() -> None:
@@ -85,8 +93,8 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = text.count(" ") + 1
-            out.append(Block(text, words, min(linked, words), article, marked or leaf, heading))
-        parts, linked, heading, leaf = [], 0, False, False
+            out.append(Block(text, words, min(linked, words), article, max(marked, leaf), heading))
+        parts, linked, heading, leaf = [], 0, False, 0
 
     def put(text: str) -> None:
         nonlocal linked
@@ -113,8 +121,9 @@ def blocks(page: str | None) -> list[Block]:
                     stack.append((tag, article, marked))
                     own = _marked(tag, token["attributes"])
                     # the header of an article holds its title, that of a page does not
-                    own = own or tag in ("header", "footer") and not (tag == "header" and article)
-                    article, marked = article or tag in ("article", "main"), marked or own
+                    if tag == "footer" or tag == "header" and not article:
+                        own = SURE
+                    article, marked = article or tag in ("article", "main"), max(marked, own)
                 elif any(tag == s[0] for s in stack):
                     while stack:
                         name, article, marked = stack.pop()
@@ -176,9 +185,28 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 5) -> tuple | float:
     return j, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
+def believed(found: list[Block]) -> int:
+    """The lowest level at which the page's marks hold: link-poor text outvotes those that would take the main text away."""
+    poor = [0] * (SURE + 1)
+    for b in found:
+        poor[b.marked] += b.words if 4 * b.linked <= b.words else 0
+    if poor[0] + poor[WEAK] < LITTLE <= poor[PLAIN]:
+        return SURE
+    return PLAIN if poor[WEAK] >= max(LITTLE, poor[0]) else WEAK
+
+
 def features(found: list[Block]) -> list[tuple]:
-    """A row as in the table for each block."""
-    place = [2 if b.article else 0 for b in found] if any(b.article for b in found) else [1] * len(found)
+    """A row as in the table for each block.
+
+    An article is the page's article only if its unmarked link-poor text is a fifth of the page's; a teaser's is not.
+    """
+    level = believed(found)
+    found = [b._replace(marked=b.marked >= level) for b in found]
+    text = [0, 0]
+    for b in found:
+        text[b.article] += b.words if not b.marked and 4 * b.linked <= b.words else 0
+    known = any(b.article for b in found) and 4 * text[1] >= text[0]
+    place = [2 if b.article else 0 for b in found] if known else [1] * len(found)
     share = [b.linked / b.words for b in found]
     out = []
     for i, b in enumerate(found):

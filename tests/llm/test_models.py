@@ -134,3 +134,22 @@ def test_main_text(spark):
     assert len(out) == 7 and texts[1] == "A & B\nFirst link line.\nSecond part <b>\nitem"
     assert texts[2] == texts[3] == texts[4] == "" and texts[5] == "\n".join(["w é"] * 5000)
     assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_marks_do_not_take_the_main_text():
+    tree = main_text.grow(np.array([r for r, _ in main_text.TABLE], float), np.array([y for _, y in main_text.TABLE], float))
+    text = ["A heading of the story", *(" ".join(f"{w}{i}" for i in range(60)) for w in "abc")]
+    inner = f"<h2>{text[0]}</h2>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    menu = "<nav><a>Home</a></nav><footer>some words of the owner</footer>"
+    card = "<article class='related'><a>Read also this</a></article>"
+    for page in (
+        f"<body class='has-sidebar ad-free'><div>{inner}</div>{menu}", f"<main class='with-comments'>{inner}</main>{menu}", f"<article class='search-enabled'>{inner}</article>{menu}",
+        f"<div class='elementor-widget elementor-widget-text-editor'>{inner}</div>{menu}", f"<div class='page has-sidebar'>{inner}</div>{menu}",
+        f"<div>{inner}</div>{card}{menu}",
+    ):
+        assert main_text.main_text(page, tree) == "\n".join(text), page[:80]
+    plain = f"<div>{inner}</div>{card.replace('related', 'x')}{menu}"
+    assert main_text.main_text(plain, tree).startswith("\n".join(text))
+    comments = f"<article>{inner}</article><div class='comments'>" + "<p>nice one, thanks a lot for it all</p>" * 50 + "</div>"
+    assert main_text.main_text(comments, tree) == "\n".join(text)
+    assert main_text.main_text(f"<div style='display:none'>{inner}</div>", tree) == ""
