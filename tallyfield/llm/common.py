@@ -36,16 +36,27 @@ def words(text: Column) -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """A 128-bit key of a row's id and text; rows that share it are repeats and share their results."""
-    both = F.struct(*[F.col(c) for c in columns])
-    return F.struct(F.xxhash64(both).alias("a"), F.xxhash64(F.lit(7), both).alias("b"))
+    """A 128-bit key of a row's id and text; rows that share it are repeats and share their results.
+
+    A hash passes over nulls, so that (null, x) and (x, null) would share a key: each column counts with
+    whether it is null, its length and its value.
+    """
+    told = F.struct(*[part for c in columns for part in _told(F.col(c).cast("string"))])
+    return F.struct(F.xxhash64(told).alias("a"), F.xxhash64(F.lit(7), told).alias("b"))
+
+
+def _told(value: Column) -> tuple[Column, Column, Column]:
+    return value.isNull(), F.coalesce(F.octet_length(value), F.lit(0)), F.coalesce(value, F.lit(""))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of checkpoints: the session's setting; only where that is unset, as in tests, one of our own."""
+    """The folder of checkpoints: the session's setting. A local session without one, as in tests, gets one of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tallyfield-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tallyfield-checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -69,15 +80,19 @@ def written(frame: DataFrame, name: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, sample: int, sample_bytes: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample: at most ``sample`` rows per class by hash of the id, none of the rows left out.
+    """Texts and labels of a bounded sample: at most ``sample`` ids per class by hash of the id, none of those left out.
 
     The sample is drawn from the labels, so only its texts meet the documents, in a broadcast of at most
-    twice ``sample`` ids.
+    twice ``sample`` ids. An id has one text (of several rows, the smallest text of at most ``sample_bytes``)
+    and one label (with both, it is not learned from), so that at most ``2 * sample * sample_bytes`` bytes
+    reach the driver.
     """
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label is not null")
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where("__id is not null and __label in (0, 1)")
     known = known.where(in_training(F.col("__id"), modulus, left_out))
+    known = known.groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most").drop("__most")
     order = [F.xxhash64("__id"), F.col("__id")]
     drawn = known.where("__label = 1").orderBy(*order).limit(sample).union(known.where("__label = 0").orderBy(*order).limit(sample))
-    found = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).where(F.octet_length("text") <= sample_bytes)
-    rows = found.select("__id", "__label", "text").toPandas().sort_values(["__id", "text"], kind="stable")
+    texts = docs.select("doc_id", "text").where((F.octet_length("text") <= sample_bytes))
+    found = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).groupBy("__id", "__label").agg(F.min("text").alias("text"))
+    rows = found.toPandas().sort_values(["__id"], kind="stable")
     return rows["text"].tolist(), rows["__label"].astype(int).tolist()
