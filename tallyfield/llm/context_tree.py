@@ -1,296 +1,267 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
-A text opens with a header symbol, the hash class (one of 64) of its most frequent word. A token is its
-bytes and a closing boundary (0x20); the end of a text is the token 0x0A. The context of a symbol is up
-to ``depth`` preceding bytes, back to the token's opening boundary and the header beyond it. Each symbol
-is eight binary decisions; every context node keeps Krichevsky-Trofimov counts for each decision, and
-the weighted probability of a node is half its own estimate plus half the product of its children's. A
-symbol's probability mixes the estimates of all depths along its path with the posterior weights; the
-header is coded by its own Krichevsky-Trofimov estimate, so the scores are those of a whole code.
-
-Corpus statistics cover all training rows: tokens are counted within blocks of documents, then by header
-and token, then as byte contexts of the distinct tokens. The tree keeps the ``max_nodes`` most frequent
-contexts (a parent is never rarer than its child, so the set is closed); contexts of a node that are not
-kept share one further child, so that no training symbol is left out. Its size bounds the broadcast.
-
-Since no context crosses a token, distinct tokens are scored once and meet the documents' blocks again
-in a join by token; a frequent token has one row per block there, not one per occurrence.
-
-Defined results: null and empty texts are the end alone; a null id is never held out; repeated rows
-are scored alike (and count repeatedly in training); an empty table gives an empty result.
+A text is the running stream of its lower-cased words, one space between two, and a closing 0x0A; it is
+read as if line ends stood before it. The context of a byte are the ``depth`` bytes before it, across
+words. Each byte is eight binary decisions, and each decision has a context tree of its own: a node keeps
+a Krichevsky-Trofimov estimate, and its weighted probability is half that estimate plus half the product
+of its children's. The probability of a byte is that of the weighted tree of the training texts, which
+mixes the estimates of all depths along the byte's path; contexts that training never saw give one half.
+
+The tree is complete: every context of every training text is a node, so it grows with the corpus, and
+it is never gathered. It is a DataFrame per depth with one row for each (context, decision). Going up,
+counts and log probabilities of children are sums by the parent's key, combined before they are
+shuffled; going down, a row meets its parent's (a parent has at most 256 children of a decision).
+
+Texts are dealt into blocks. A block counts its distinct grams (context and byte) and words; they meet
+the tree and the word counts once a block, and then the block's texts: no row per occurrence is shuffled,
+and a key, however frequent, has one row a block at most.
+
+Defined results: null and empty texts are the end alone; a null id is never held out; rows that repeat id
+and text count repeatedly in training, are read once and scored alike, as are ties; very long texts are
+read in slices; extra columns of any name are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-DEPTH, MAX_NODES, BLOCK_BYTES = 6, 16_384, 16_000_000
-END, CLASSES = b"\n", 64
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words, then the end; bytes.split() parts at space and U+0009 to U+000D."""
-    return [*(text or "").encode().lower().split(), END]
-
-
-def header(found: list[bytes]) -> int:
-    """The class of a text: by its most frequent word, 0 if none occurs twice."""
-    counts = Counter(found)
-    word = max(counts, key=lambda w: (counts[w], w))
-    return 1 + zlib.crc32(word) % (CLASSES - 1) if counts[word] > 1 else 0
-
-
-def _stream(classes: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The units (header, boundary, word, boundary) as one byte stream, each byte's place in its unit, and the units' starts."""
-    heads = [bytes([128 + c, 32]) for c in range(CLASSES)]
-    units = [heads[c] + w for c, w in zip(classes.to_pylist(), words.to_pylist(), strict=True)]
-    symbols = np.frombuffer(b" ".join(units) + b" ", np.uint8)
-    sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
-    starts = np.cumsum(sizes) - sizes
-    return symbols, np.arange(len(symbols)) - np.repeat(starts, sizes), starts
-
-
-def _contexts(symbols: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of every coded symbol, its context packed with the latest byte lowest, and the context's length."""
-    at = np.flatnonzero(place > 1)
-    back = place[at]
-    packed = np.zeros(len(at), np.int64)
-    for d in range(depth):
-        byte = symbols[np.maximum(at - 1 - d, 0)].astype(np.int64)
-        packed |= np.where(back > d, byte, 0) << (8 * d)
-    return at, packed, np.minimum(back, depth)
-
-
-def _count_tokens(table: pa.Table) -> pa.Table:
-    """(block, head, word, n_train) of a block of documents."""
-    seen: dict[int, Counter] = {}
-    training: dict[int, Counter] = {}
-    for text, train in zip(table["text"].to_pylist(), table["train"].to_pylist(), strict=True):
-        found = tokens(text)
-        head = header(found)
-        seen.setdefault(head, Counter()).update(found)
-        if train:
-            training.setdefault(head, Counter()).update(found)
-    block = table["block"][0].as_py()
+#: Bytes of context; a gram and a tree key fit into 64 bits up to 6.
+DEPTH = 5
+BLOCK_BYTES, SLICE_BYTES = 32_000_000, 4_000_000
+
+
+def tokens(texts: pa.ChunkedArray | pa.Array) -> pa.ListArray:
+    """The lower-cased (A-Z) words of each text; words are parted at space and U+0009 to U+000D."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    words = pc.ascii_split_whitespace(texts)
+    return pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar([], words.type), words)
+
+
+def streams(words: pa.ListArray, depth: int) -> pa.Array:
+    """What is coded of each text, behind the line ends that the first contexts see."""
+    told = lambda x: pa.scalar(x, pa.large_string())
+    return pc.binary_join_element_wise(told("\n" * depth), pc.binary_join(words, told(" ")), told("\n"), told(""))
+
+
+def grams(some: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every coded byte (the byte lowest, then the context, latest first), and how many each stream has."""
+    starts = np.frombuffer(some.buffers()[1], np.int64)[some.offset : some.offset + len(some) + 1]
+    n = int(starts[-1] - starts[0])
+    data = b"\0" * 7 + some.buffers()[2].slice(int(starts[0]), n).to_pybytes() + b"\0" * 8
+    out = np.empty(-(-n // 8) * 8, np.uint64)
+    for k in range(8):
+        out[k::8] = np.frombuffer(data, ">u8", len(out) // 8, k)
+    coded = np.ones(n, bool)
+    for k in range(depth):
+        coded[starts[:-1] - starts[0] + k] = False
+    return out[:n][coded] & np.uint64((1 << 8 * (depth + 1)) - 1), np.diff(starts) - depth
+
+
+def _distinct(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs, or its total weight."""
+    if weights is None:
+        values = np.sort(values)
+    else:
+        order = np.argsort(values, kind="stable")
+        values, weights = values[order], weights[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    total = np.diff(np.append(first, len(values))) if weights is None else np.add.reduceat(weights, first) if len(first) else weights
+    return values[first], total
+
+
+def _slices(sizes: np.ndarray) -> Iterator[slice]:
+    """Consecutive texts of about SLICE_BYTES bytes."""
+    ends = np.flatnonzero(np.diff(np.append(np.cumsum(sizes) // SLICE_BYTES, -1))) + 1
+    for start, end in zip(np.append(0, ends)[:-1], ends, strict=True):
+        yield slice(int(start), int(end))
+
+
+def _encoded(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words with the end last, the number of each word in the texts' order, and the number of words of each text."""
+    sizes = pc.list_value_length(words).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    return pa.concat_arrays([coded.dictionary, pa.array(["\n"], coded.dictionary.type)]), coded.indices.to_numpy(), sizes
+
+
+def _count_block(table: pa.Table, depth: int) -> pa.Table:
+    """(block, gram or word, count in training) of the distinct grams and words of a block of texts."""
+    weights = np.where(table["train"].to_numpy(), table["n"].to_numpy(), 0)
+    words = tokens(table["text"])
+    known, index, sizes = _encoded(words)
+    counts = np.bincount(index, np.repeat(weights, sizes), len(known)).astype(np.int64)
+    counts[-1] = weights.sum()
+    some = streams(words, depth)
     parts = []
-    for head, words in seen.items():
-        learned = training.get(head, Counter())
-        n = len(words)
-        parts.append(pa.table({
-            "block": pa.array(np.full(n, block, np.int64)),
-            "head": pa.array(np.full(n, head, np.int32)),
-            "word": pa.array(list(words), pa.binary()),
-            "n_train": pa.array(np.fromiter(map(learned.__getitem__, words), np.int64, n)),
-        }))
-    return pa.concat_tables(parts)
-
-
-def _grams(batches, depth: int):
-    """Each batch's contexts with the symbol that follows, weighted by the words' counts."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        symbols, place, _ = _stream(batch.column("head"), batch.column("word"))
-        at, packed, length = _contexts(symbols, place, depth)
-        weight = batch.column("n_train").to_numpy()[np.cumsum(place == 0)[at] - 1]
-        # the context's length follows from its bytes: a header is the only byte before a boundary
-        gram, where = np.unique(packed << 8 | symbols[at], return_inverse=True)
-        first = np.zeros(len(gram), np.int64)
-        first[where] = length
-        total = np.bincount(where, weight, len(gram)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(gram), "length": pa.array(first), "n": pa.array(total)})
-
-
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after a shift to arguments of 8 and more."""
-    shift = np.zeros_like(x)
-    y = x.copy()
-    for _ in range(8):
-        small = y < 8
-        shift[small] += np.log(y[small])
-        y[small] += 1
+    for part in _slices(pc.binary_length(some).to_numpy()):
+        for n in np.unique(weights[part]):
+            distinct, count = _distinct(grams(some[part].filter(pa.array(weights[part] == n)), depth)[0])
+            parts.append((distinct, count * n))
+    gram, n = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    size = len(gram) + len(known)
+    return pa.table({
+        "block": pa.array(np.full(size, table["block"][0].as_py(), np.int64)),
+        "gram": pa.array(np.concatenate([gram.view(np.int64), np.zeros(len(known), np.int64)]), mask=np.arange(size) >= len(gram)),
+        "word": pa.concat_arrays([pa.nulls(len(gram), pa.string()), known.cast(pa.string())]),
+        "n": pa.array(np.concatenate([n, counts])),
+    })
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series eight steps up, where it is exact to the last digits."""
+    product = x
+    for k in range(1, 8):
+        product = product * (x + k)
+    y = x + 8
     r = 1 / (y * y)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - r * (1 / 360 - r / 1260)) / y - shift
+    return (y - 0.5) * F.ln(y) - y + float(0.5 * np.log(2 * np.pi)) + (1 / 12 - r * (1 / 360 - r / 1260)) / y - F.ln(product)
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones counted at each of the 255 binary decisions of every row of symbol counts."""
-    zeros, ones = [], []
-    for k in range(8):
-        pair = counts.reshape(len(counts), 1 << k, 2, -1).sum(3)
-        zeros.append(pair[:, :, 0])
-        ones.append(pair[:, :, 1])
-    return np.concatenate(zeros, 1), np.concatenate(ones, 1)
-
-
-def _log_kt(counts: np.ndarray) -> np.ndarray:
-    """Log probability that the Krichevsky-Trofimov estimator gave the counts, by decision."""
-    a, b = _bits(counts)
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - np.log(np.pi) - _log_gamma(a + b + 1)
-
-
-class Tree:
-    """A weighted context tree: sorted node keys (depth in the top byte), and log10 probabilities by terminal and symbol."""
-
-    def __init__(self, counts: dict[int, np.ndarray]):
-        """counts: symbol counts by node key; key 0 is the root."""
-        self.keys = np.array(sorted(counts), np.int64)
-        row = {int(k): i for i, k in enumerate(self.keys)}
-        n = len(self.keys)
-        own = np.stack([counts[int(k)] for k in self.keys]).astype(np.float64)
-        counts.clear()
-        depth = self.keys >> 56
-        parent = np.full(n, -1)
-        for i, (k, d) in enumerate(zip(self.keys.tolist(), depth.tolist(), strict=True)):
-            if d:
-                parent[i] = row[(d - 1) << 56 | k & ((1 << 8 * (d - 1)) - 1)]
-        inner = np.zeros(n, bool)
-        inner[parent[parent >= 0]] = True
-        rest = own.copy()
-        np.subtract.at(rest, parent[parent >= 0], own[parent >= 0])
-        estimate, weighted, share = np.empty((n, 255)), np.zeros((n, 255)), np.ones((n, 255), np.float32)
-        for lo in range(0, n, 1024):
-            estimate[lo : lo + 1024] = _log_kt(own[lo : lo + 1024])
-        below = np.zeros((n, 255))  # the children's product
-        for d in range(int(depth.max()), -1, -1):
-            at = np.flatnonzero(depth == d)
-            deep = at[inner[at]]
-            weighted[at] = estimate[at]
-            for some in np.array_split(deep, -(-len(deep) // 1024)) if len(deep) else ():
-                total = below[some] + _log_kt(np.maximum(rest[some], 0))
-                weighted[some] = np.logaddexp(estimate[some], total) - np.log(2)
-                share[some] = np.exp(estimate[some] - np.log(2) - weighted[some])
-            if d:
-                np.add.at(below, parent[at], weighted[at])
-        del estimate, weighted, below
-        one, last = np.empty((n, 255), np.float32), np.empty((n, 255), np.float32)
-        for lo in range(0, n, 1024):
-            part = slice(lo, lo + 1024)
-            for counts_of, out in ((own[part], one), (np.maximum(rest[part], 0), last)):
-                a, b = _bits(counts_of)
-                out[part] = (b + 0.5) / (a + b + 1)
-        # terminals: leaves, and the further child of every inner node
-        last[~inner] = one[~inner]
-        self.table = np.empty((n, 256), np.float32)
-        for lo in range(0, n, 1024):
-            at = np.arange(lo, min(n, lo + 1024))
-            p, up = last[at].astype(np.float64), np.where(inner[at], at, parent[at])
-            while (up >= 0).any():
-                go = up >= 0
-                s = up[go]
-                p[go] = share[s] * one[s] + (1 - share[s]) * p[go]
-                up[go] = parent[s]
-            log = np.zeros((len(at), 1))
-            for k in range(8):
-                bit = p[:, (1 << k) - 1 : (2 << k) - 1]
-                log = np.stack([log + np.log10(1 - bit), log + np.log10(bit)], 2).reshape(len(at), -1)
-            self.table[at] = log
-
-    def terminals(self, packed: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The deepest kept node of each context."""
-        found, going = np.zeros(len(packed), np.int64), np.arange(len(packed))
-        for d in range(1, int(self.keys[-1] >> 56) + 1):
-            going = going[length[going] >= d]
-            key = d << 56 | packed[going] & ((1 << 8 * d) - 1)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            going = going[hit]
-            found[going] = at[hit]
-        return found
-
-    def log10(self, classes: pa.Array, words: pa.Array, depth: int) -> np.ndarray:
-        """Log probability of each word under its header."""
-        symbols, place, starts = _stream(classes, words)
-        at, packed, length = _contexts(symbols, place, depth)
-        each = np.zeros(len(symbols))
-        each[at] = self.table[self.terminals(packed, length), symbols[at]]
-        return np.add.reduceat(each, starts)
-
-
-def fit_tree(vocabulary: DataFrame, depth: int = DEPTH, max_nodes: int = MAX_NODES) -> Tree:
-    """The tree of a vocabulary (head, word, n_train).
-
-    What reaches the driver are the symbol counts of at most ``max_nodes`` contexts.
+def log_kt(zeros: Column, ones: Column) -> Column:
+    """Natural log of the probability that the Krichevsky-Trofimov estimator gave the counts, in any order."""
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - float(np.log(np.pi)) - _log_gamma(zeros + ones + 1.0)
+
+
+def _decision(symbol: Column, k: int) -> tuple[Column, Column]:
+    """The k-th decision of a byte: its number (1 to 255, by the bits before) and the bit taken."""
+    number = F.lit(1 << k).cast("long").bitwiseOR(F.shiftrightunsigned(symbol, 8 - k))
+    return number, F.shiftrightunsigned(symbol, 7 - k).bitwiseAND(F.lit(1).cast("long"))
+
+
+def tree(counted: DataFrame, depth: int) -> list[DataFrame]:
+    """The rows of each depth, 0 to ``depth``: at (context and decision), a, b (zeros, ones), lw, share.
+
+    lw is the log of the weighted probability and share the part of a node's own estimate in it.
     """
-    grams = vocabulary.where("n_train > 0").mapInArrow(lambda it: _grams(it, depth), "gram long, length long, n long")
-    grams = common.written(grams.groupBy("gram", "length").agg(F.sum("n").alias("n")), "grams")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("d") * 8).cast("int")) - 1
-    nodes = grams.select("gram", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("length"))).alias("d")).select(
-        F.shiftleft("d", 56).bitwiseOR(F.shiftright("gram", 8).bitwiseAND(mask)).alias("node"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n"
-    )
-    kept = nodes.groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(max_nodes).select("node")
-    seen = nodes.join(F.broadcast(kept), "node").groupBy("node", "symbol").agg(F.sum("n").alias("n"))
-    root = grams.groupBy(F.lit(0).cast("long").alias("node"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol")).agg(F.sum("n").alias("n"))
-    counts: dict[int, np.ndarray] = {0: np.zeros(256)}
-    for part in (seen.toPandas(), root.toPandas()):
-        for node, rows in part.groupby("node"):
-            counts.setdefault(int(node), np.zeros(256))[rows["symbol"].to_numpy()] = rows["n"].to_numpy()
-    return Tree(counts)
-
-
-def _score_words(batches, tree, depth: int):
-    for batch in batches:
-        if batch.num_rows:
-            score = tree.value.log10(batch.column("head"), batch.column("word"), depth)
-            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("head", "word", "c")}, "score": pa.array(score)})
-
-
-def _score_docs(docs: pa.Table, words: pa.Table, heads: np.ndarray) -> pa.Table:
-    by_head: dict[int, dict[bytes, int]] = {head: {} for head in range(CLASSES)}
-    for i, (head, word) in enumerate(zip(words["head"].to_pylist(), words["word"].to_pylist(), strict=True)):
-        by_head[head][word] = i
-    count, score = words["c"].to_numpy(), words["score"].to_numpy()
-    known, base = count > 0, np.log10(count + 1.0)
-    out = []
-    for text in docs["text"].to_pylist():
-        found = tokens(text)
-        head = header(found)
-        at = np.fromiter(map(by_head[head].__getitem__, found), np.int64, len(found))
-        out.append((len(at), int(known[at].sum()), base[at].sum(), score[at].sum() + heads[head], len((text or "").encode())))
-    n, k, b, s, size = zip(*out, strict=True)
+    symbol, context = F.col("gram").bitwiseAND(F.lit(255).cast("long")), F.shiftrightunsigned("gram", 8)
+    taken = F.array(*[F.struct(F.shiftleft(context, 8).bitwiseOR(number).alias("at"), bit.alias("bit")) for number, bit in (_decision(symbol, k) for k in range(8))])
+    bits = counted.select("n", F.explode(taken).alias("d"))
+    deepest = bits.groupBy("d.at").agg(F.sum(F.col("n") * (1 - F.col("d.bit"))).alias("a"), F.sum(F.col("n") * F.col("d.bit")).alias("b"))
+    levels = [common.written(deepest.select("at", "a", "b", log_kt(F.col("a"), F.col("b")).alias("lw"), F.lit(1.0).alias("share")), f"depth-{depth}")]
+    for d in range(depth - 1, -1, -1):
+        parent = F.col("at").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1).cast("long"))
+        sums = levels[0].groupBy(parent.alias("at")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("below"))
+        own = sums.withColumn("own", log_kt(F.col("a"), F.col("b")))
+        high, low = F.greatest("own", "below"), F.least("own", "below")
+        weighted = own.withColumn("lw", high + F.log1p(F.exp(low - high)) - float(np.log(2)))
+        level = weighted.select("at", "a", "b", "lw", F.exp(F.col("own") - float(np.log(2)) - F.col("lw")).alias("share"))
+        levels.insert(0, common.written(level, f"depth-{d}"))  # read twice, up and down
+    return levels
+
+
+def predictions(levels: list[DataFrame]) -> DataFrame:
+    """(at, p): for every context of full depth and decision, the weighted tree's probability of a one."""
+    estimate = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
+    down = levels[0].select("at", (F.col("share") * estimate).alias("sum"), (1 - F.col("share")).alias("rest"))
+    for d, level in enumerate(levels[1:], 1):
+        parent = F.col("at").bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long"))
+        met = level.withColumn("parent", parent).join(down.select(F.col("at").alias("parent"), "sum", "rest"), "parent")
+        down = met.select("at", (F.col("sum") + F.col("rest") * F.col("share") * estimate).alias("sum"), (F.col("rest") * (1 - F.col("share"))).alias("rest"))
+    return down.select("at", F.col("sum").alias("p"))
+
+
+def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
+    """(gram, score): log10 of the probability of the gram's byte in its context."""
+    node = F.struct(F.col("at").bitwiseAND(F.lit(255).cast("long")).alias("k"), F.col("p").alias("v"))
+    # at most 255 decisions a context
+    by_context = predictions(tree(counted, depth)).groupBy(F.shiftrightunsigned("at", 8).alias("context")).agg(F.map_from_entries(F.collect_list(node)).alias("p"))
+    symbol = F.col("gram").bitwiseAND(F.lit(255).cast("long"))
+    product = F.lit(1.0)
+    for k in range(8):
+        number, bit = _decision(symbol, k)
+        # p for a one, 1 - p for a zero
+        product = product * F.abs(1 - bit - F.element_at("p", number))
+    met = counted.select("gram", F.shiftrightunsigned("gram", 8).alias("context")).join(by_context, "context")
+    return met.select("gram", F.log10(product).alias("score"))
+
+
+class Table:
+    """Values by 64-bit keys: open addressing in arrays, looked up by whole arrays of keys that are all known."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64).view(np.uint64), np.zeros(1 << self.bits)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == np.uint64(2**64 - 1)]
+            self.keys[at[free]] = keys[free]
+            self.values[at[free]] = values[free]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.values[at]
+
+
+def _score_block(docs: pa.Table, known: pa.Table, depth: int) -> pa.Table:
+    is_gram = known["gram"].is_valid().to_numpy()
+    value = known["value"].to_numpy()
+    table = Table(known["gram"].drop_null().to_numpy().view(np.uint64), value[is_gram])
+    words = tokens(docs["text"])
+    distinct, index, sizes = _encoded(words)
+    found = pc.index_in(distinct, value_set=known["word"].drop_null().combine_chunks().cast(distinct.type)).to_numpy()
+    count = value[~is_gram][found]
+    ends, base = np.cumsum(sizes), np.log10(count + 1)
+    total = lambda each: np.diff(np.append(0, np.cumsum(each[index]))[np.append(0, ends)]) + each[-1]
+    some, scores, coded = streams(words, depth), [], []
+    for part in _slices(pc.binary_length(some).to_numpy()):
+        gram, n = grams(some[part], depth)
+        scores.append(np.add.reduceat(table[gram], np.cumsum(n) - n))
+        coded.append(n)
     return pa.table({
-        "doc_id": docs["doc_id"], "held_out": pa.array([not x for x in docs["train"].to_pylist()]), "n_tokens": pa.array(n, pa.int64()),
-        "n_known": pa.array(k, pa.int64()), "counts": pa.array(b, pa.float64()), "score": pa.array(s, pa.float64()), "n_bytes": pa.array(size, pa.int64()),
+        "doc_id": docs["doc_id"], "held_out": pc.invert(docs["train"]), "n": docs["n"], "n_tokens": pa.array(sizes.astype(np.int64) + 1),
+        "n_known": pa.array(total((count > 0).astype(np.int64))), "counts": pa.array(total(base)),
+        "score": pa.array(np.concatenate(scores)), "n_bytes": pa.array(np.concatenate(coded)),
     })
 
 
 def score(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", modulus: int = 7, left_out: int = 2,
-    depth: int = DEPTH, max_nodes: int = MAX_NODES,
+    depth: int = DEPTH, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be 1 to 6")
     key, text = F.col(id_column), F.col(text_column)
-    size = docs.agg(F.sum(F.octet_length(common.whole_text(text_column))).alias("bytes")).first()["bytes"] or 0
-    block = F.pmod(F.xxhash64(key, text), F.lit(max(1, -(-size // BLOCK_BYTES)))).cast("long")
-    blocked = docs.select(block.alias("block"), key.alias("doc_id"), common.in_training(key, modulus, left_out).alias("train"), text.alias("text"))
-    counted = blocked.groupBy("block").applyInArrow(_count_tokens, "block long, head int, word binary, n_train long")
-    pairs = common.written(counted, "tokens")
-    units = pairs.groupBy("head", "word").agg(F.sum("n_train").alias("n_train"))
-    # a word has at most one row per header here
-    units = common.written(units.withColumn("c", F.sum("n_train").over(Window.partitionBy("word"))), "vocabulary")
-    by_word = units.where("n_train > 0").groupBy("word").agg(F.sum("n_train").alias("n"))
-    facts = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    heads = np.zeros(CLASSES)
-    for row in units.where(F.col("word") == F.lit(END)).select("head", "n_train").collect():
-        heads[row["head"]] = row["n_train"]
-    heads = np.log10((heads + 0.5) / (heads.sum() + CLASSES / 2))
-    shared = docs.sparkSession.sparkContext.broadcast(fit_tree(units.select("head", "word", "n_train"), depth, max_nodes))
-    scored = units.select("head", "word", "c").mapInArrow(lambda it: _score_words(it, shared, depth), "head int, word binary, c long, score double")
-    known = pairs.select("block", "head", "word").join(scored, ["head", "word"]).select("block", "head", "word", "c", "score")
+    read = docs.select(key.alias("doc_id"), common.in_training(key, modulus, left_out).alias("train"), text.alias("text"))
+    facts = docs.agg(F.sum(F.octet_length(common.whole_text(text_column)) + 1).alias("bytes")).first()
+    # a row that many repeat is one row with a count, or its block would hold them all
+    repeated = docs.groupBy(common.row_key(id_column, text_column).alias("key")).count().where("count > 1").limit(1).count() > 0
+    read = read.groupBy("doc_id", "train", "text").agg(F.count("*").alias("n")) if repeated else read.withColumn("n", F.lit(1).cast("long"))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-(facts["bytes"] or 0) // block_bytes)))).cast("long")
+    blocked = read.withColumn("block", block)
+    counted = blocked.groupBy("block").applyInArrow(lambda t: _count_block(t, depth), "block long, gram long, word string, n long")
+    pairs = common.written(counted, "counted")
+    by_word = common.written(pairs.where("word is not null").groupBy("word").agg(F.sum("n").alias("value")), "words")
+    total = by_word.where("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    by_gram = common.written(pairs.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    scored = common.written(gram_scores(by_gram, depth), "gram-scores")
+    grams_known = pairs.where("gram is not null").select("block", "gram").join(scored, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("score").alias("value"))
+    words_known = pairs.where("word is not null").select("block", "word").join(by_word, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("value").cast("double").alias("value"))
+    known = grams_known.union(words_known)
     id_type = docs.schema[id_column].dataType.simpleString()
-    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, counts double, score double, n_bytes long"
-    rows = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _score_docs(a, b, heads), schema)
-    spread = float(np.log10(facts["n"] + facts["v"] + 1))
-    bits = F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes"))
+    schema = f"doc_id {id_type}, held_out boolean, n long, n_tokens long, n_known long, counts double, score double, n_bytes long"
+    rows = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda a, b: _score_block(a, b, depth), schema)
+    if repeated:
+        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    spread = float(np.log10(total["n"] + total["v"] + 1))
     return rows.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["n"]).cast("long").alias("train_tokens"),
-        (F.col("counts") - F.col("n_tokens") * spread).alias("base_score"), "score", bits.alias("bits_per_byte"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"),
+        (F.col("counts") - F.col("n_tokens") * spread).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

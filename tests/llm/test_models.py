@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from tallyfield.llm import context_tree, main_text, passage_quality, toxicity
 
@@ -26,11 +28,60 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
 
+def kt_log(a, b):
+    return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+
+def weighted(counts, context, depth, at):
+    """Log of the weighted probability of a node: counts by full context, by definition."""
+    below = {c: n for c, n in counts.items() if c.endswith(context)}
+    own = kt_log(sum(n[0] for n in below.values()), sum(n[1] for n in below.values()))
+    if at == depth:
+        return own
+    children = sum(weighted(below, k, depth, at + 1) for k in {c[len(c) - at - 1 :] for c in below})
+    return math.log(0.5 * math.exp(own) + 0.5 * math.exp(children))
+
+
+def brute_score(text, training, depth):
+    """log10 probability of a text after the training texts: per decision, the ratio of two weighted probabilities."""
+
+    def decisions(t):
+        coded = " ".join(words(t)).encode() + b"\n"
+        data = b"\n" * depth + coded
+        for i in range(len(coded)):
+            for k in range(8):
+                yield (k, coded[i] >> (8 - k)), data[i : i + depth], coded[i] >> (7 - k) & 1
+
+    counts = {}
+    for t in training:
+        for number, context, bit in decisions(t):
+            counts.setdefault(number, {}).setdefault(context, [0, 0])[bit] += 1
+    total = 0.0
+    for number, context, bit in decisions(text):
+        tree = {c: tuple(n) for c, n in counts.get(number, {}).items()}
+        before = weighted(tree, b"", depth, 0) if tree else 0.0
+        n = list(tree.get(context, (0, 0)))
+        n[bit] += 1
+        total += weighted(tree | {context: tuple(n)}, b"", depth, 0) - before
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("depth", [1, 3])
+def test_context_tree_by_definition(spark, depth):
+    docs = [(i, t) for i, t in enumerate(["ab abc", "AB ab", "", "é ab", None, "b", "ab abc", "c\tab ab", "abcd", "ba ab", "ab", "aab", "ab b", "é"])] + [(1, "AB ab")] * 3 + [(None, "ab abc"), (None, "ab abc"), (None, None)]
+    training = [t for i, t in docs if not left_out(i, 7, 2)]
+    assert len(training) < len(docs)
+    out = context_tree.score(frame(spark, docs).withColumns({"n": F.lit("x"), "block": F.lit(0), "train": F.lit(1)}), depth=depth, block_bytes=16).collect()
+    assert len(out) == len(docs)
+    want = {t: round(brute_score(t, training, depth), 6) for t in {t for _, t in docs}}
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in out), key=str) == sorted(((i, want[t]) for i, t in docs), key=str)
+
+
 def test_context_tree(spark):
     rng = random.Random(1)
     syllables = ["ka", "lo", "mi", "tan", "ver"]
     docs = EDGE + [(10 + i, " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(60))) for i in range(60)]
-    out = context_tree.score(frame(spark, docs), max_nodes=300).collect()
+    out = context_tree.score(frame(spark, docs)).collect()
     tokens = [words(t) + [None] for _, t in docs]
     counts = Counter(w for (i, _), ws in zip(docs, tokens) if not left_out(i, 7, 2) for w in ws)
     total, distinct = sum(counts.values()), len(counts)
@@ -42,24 +93,22 @@ def test_context_tree(spark):
     assert sum(r["score"] for r in long) > sum(r["base_score"] for r in long)
     empty = context_tree.score(frame(spark, []))
     assert empty.count() == 0
-
-
-def test_tree_is_a_distribution():
-    rng = np.random.default_rng(0)
-    counts = {0: np.zeros(256)}
-    for c in (97, 98):
-        counts[1 << 56 | c] = rng.integers(0, 50, 256).astype(float)
-        counts[0] += counts[1 << 56 | c]
-    counts[2 << 56 | 97 << 8 | 98] = counts[1 << 56 | 98] // 2
-    counts[0] += 3
-    base = counts[0].copy()
-    tree = context_tree.Tree(counts)
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
-    single = context_tree.Tree({0: base})
-    bits = np.array([(base[: 256 // 2].sum() + 0.5) / (base.sum() + 1)])
-    assert np.isclose((10.0 ** single.table[0, :128].astype(float)).sum(), bits[0], atol=1e-5)
-    assert context_tree._contexts(np.frombuffer(b"\x80 ab ", np.uint8), np.arange(5), 6)[2].tolist() == [2, 3, 4]
-    assert tree.log10(pa.array([1]), pa.array([b"ab"], pa.binary()), 6).shape == (1,)
+    unseen = context_tree.score(frame(spark, [(i, "ab") for i in range(40) if left_out(i, 7, 2)]))
+    assert all(abs(r["score"] - 24 * math.log10(0.5)) < 1e-9 and r["train_tokens"] == 0 for r in unseen.collect())
+
+
+def test_slices_and_tables():
+    texts = pa.array(["", None, " A\tb ", "c" * 9, "\x0b", "ü Ü"])
+    found = context_tree.tokens(texts)
+    assert found.to_pylist() == [[], [], ["a", "b"], ["c" * 9], [], ["ü", "Ü"]]
+    gram, n = context_tree.grams(context_tree.streams(found, 2), 2)
+    assert n.tolist() == [1, 1, 4, 10, 1, 6] and gram[2:6].tolist() == [int.from_bytes(x, "big") for x in (b"\n\na", b"\na ", b"a b", b" b\n")]
+    context_tree.SLICE_BYTES, kept = 3, context_tree.SLICE_BYTES
+    parts = list(context_tree._slices(np.array([1, 1, 1, 9, 1])))
+    context_tree.SLICE_BYTES = kept
+    assert [i for p in parts for i in range(5)[p]] == list(range(5)) and list(context_tree._slices(np.zeros(0, np.int64))) == []
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**48, 5000, dtype=np.uint64))
+    assert (context_tree.Table(keys, np.arange(len(keys)) * 1.0)[keys[::-1]] == np.arange(len(keys))[::-1]).all()
 
 
 def sentences(rng, n, extra=()):
