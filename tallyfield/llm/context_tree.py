@@ -35,7 +35,7 @@ from . import common
 
 #: Bytes of context; a gram and a tree key fit into 64 bits up to 6.
 DEPTH = 5
-BLOCK_BYTES, SLICE_BYTES = 32_000_000, 4_000_000
+BLOCK_BYTES, SLICE_BYTES = 32_000_000, 2_000_000
 
 
 def tokens(texts: pa.ChunkedArray | pa.Array) -> pa.ListArray:
@@ -78,34 +78,30 @@ def _distinct(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np
     return values[first], total
 
 
-def _slices(sizes: np.ndarray) -> Iterator[slice]:
-    """Consecutive texts of about SLICE_BYTES bytes."""
+def _slices(texts: pa.ChunkedArray) -> Iterator[tuple[slice, pa.ListArray]]:
+    """Consecutive texts of about SLICE_BYTES bytes, and their words."""
+    sizes = pc.binary_length(pc.fill_null(texts, "")).to_numpy().astype(np.int64)
     ends = np.flatnonzero(np.diff(np.append(np.cumsum(sizes) // SLICE_BYTES, -1))) + 1
-    for start, end in zip(np.append(0, ends)[:-1], ends, strict=True):
-        yield slice(int(start), int(end))
-
-
-def _encoded(words: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words with the end last, the number of each word in the texts' order, and the number of words of each text."""
-    sizes = pc.list_value_length(words).to_numpy()
-    coded = words.flatten().dictionary_encode()
-    return pa.concat_arrays([coded.dictionary, pa.array(["\n"], coded.dictionary.type)]), coded.indices.to_numpy(), sizes
+    for start, end in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
+        yield slice(start, end), tokens(texts[start:end])
 
 
 def _count_block(table: pa.Table, depth: int) -> pa.Table:
     """(block, gram or word, count in training) of the distinct grams and words of a block of texts."""
     weights = np.where(table["train"].to_numpy(), table["n"].to_numpy(), 0)
-    words = tokens(table["text"])
-    known, index, sizes = _encoded(words)
-    counts = np.bincount(index, np.repeat(weights, sizes), len(known)).astype(np.int64)
-    counts[-1] = weights.sum()
-    some = streams(words, depth)
-    parts = []
-    for part in _slices(pc.binary_length(some).to_numpy()):
+    gram_parts, known_parts, count_parts = [], [pa.array(["\n"], pa.large_string())], [np.array([weights.sum()])]
+    for part, words in _slices(table["text"]):
+        coded = words.flatten().dictionary_encode()
+        known_parts.append(coded.dictionary)
+        count_parts.append(np.bincount(coded.indices.to_numpy(), np.repeat(weights[part], pc.list_value_length(words).to_numpy()), len(coded.dictionary)))
+        some = streams(words, depth)
         for n in np.unique(weights[part]):
-            distinct, count = _distinct(grams(some[part].filter(pa.array(weights[part] == n)), depth)[0])
-            parts.append((distinct, count * n))
-    gram, n = _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            distinct, count = _distinct(grams(some.filter(pa.array(weights[part] == n)), depth)[0])
+            gram_parts.append((distinct, count * n))
+    gram, n = _distinct(*(np.concatenate(x) for x in zip(*gram_parts, strict=True)))
+    coded = pa.concat_arrays(known_parts).dictionary_encode()
+    known = coded.dictionary
+    counts = np.bincount(coded.indices.to_numpy(), np.concatenate(count_parts), len(known)).astype(np.int64)
     size = len(gram) + len(known)
     return pa.table({
         "block": pa.array(np.full(size, table["block"][0].as_py(), np.int64)),
@@ -180,7 +176,8 @@ def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
         # p for a one, 1 - p for a zero
         product = product * F.abs(1 - bit - F.element_at("p", number))
     met = counted.select("gram", F.shiftrightunsigned("gram", 8).alias("context")).join(by_context, "context")
-    return met.select("gram", F.log10(product).alias("score"))
+    # seven digits, which are shuffled more tightly
+    return met.select("gram", F.log10(product).cast("float").cast("double").alias("score"))
 
 
 class Table:
@@ -210,25 +207,23 @@ class Table:
 
 
 def _score_block(docs: pa.Table, known: pa.Table, depth: int) -> pa.Table:
-    is_gram = known["gram"].is_valid().to_numpy()
-    value = known["value"].to_numpy()
+    value, is_gram = known["value"].to_numpy(), known["gram"].is_valid().to_numpy()
     table = Table(known["gram"].drop_null().to_numpy().view(np.uint64), value[is_gram])
-    words = tokens(docs["text"])
-    distinct, index, sizes = _encoded(words)
-    found = pc.index_in(distinct, value_set=known["word"].drop_null().combine_chunks().cast(distinct.type)).to_numpy()
-    count = value[~is_gram][found]
-    ends, base = np.cumsum(sizes), np.log10(count + 1)
-    total = lambda each: np.diff(np.append(0, np.cumsum(each[index]))[np.append(0, ends)]) + each[-1]
-    some, scores, coded = streams(words, depth), [], []
-    for part in _slices(pc.binary_length(some).to_numpy()):
-        gram, n = grams(some[part], depth)
-        scores.append(np.add.reduceat(table[gram], np.cumsum(n) - n))
-        coded.append(n)
-    return pa.table({
-        "doc_id": docs["doc_id"], "held_out": pc.invert(docs["train"]), "n": docs["n"], "n_tokens": pa.array(sizes.astype(np.int64) + 1),
-        "n_known": pa.array(total((count > 0).astype(np.int64))), "counts": pa.array(total(base)),
-        "score": pa.array(np.concatenate(scores)), "n_bytes": pa.array(np.concatenate(coded)),
-    })
+    # the end is a token that no text holds as a word
+    vocabulary, count = known["word"].drop_null().cast(pa.large_string()), value[~is_gram]
+    end = int(count[pc.index(vocabulary, pa.scalar("\n", pa.large_string())).as_py()])
+    out = []
+    for _, words in _slices(docs["text"]):
+        coded, sizes = words.flatten().dictionary_encode(), pc.list_value_length(words).to_numpy().astype(np.int64)
+        c = count[pc.index_in(coded.dictionary, value_set=vocabulary).to_numpy()]
+        ends = np.append(0, np.cumsum(sizes))
+        each = lambda x: np.diff(np.append(0, np.cumsum(x[coded.indices.to_numpy()]))[ends])  # noqa: E731, B023
+        gram, n = grams(streams(words, depth), depth)
+        scores = np.add.reduceat(table[gram], np.cumsum(n) - n)
+        out.append((sizes + 1, each((c > 0).astype(np.int64)) + (end > 0), each(np.log10(c + 1)) + np.log10(end + 1), scores, n))
+    n_tokens, n_known, counts, scores, n = (pa.array(np.concatenate(x)) for x in zip(*out, strict=True))
+    held_out = pc.invert(docs["train"])
+    return pa.table({"doc_id": docs["doc_id"], "held_out": held_out, "n": docs["n"], "n_tokens": n_tokens, "n_known": n_known, "counts": counts, "score": scores, "n_bytes": n})
 
 
 def score(
