@@ -35,7 +35,7 @@ from . import common
 
 #: Bytes of context; a gram and a tree key fit into 64 bits up to 6.
 DEPTH = 5
-BLOCK_BYTES, SLICE_BYTES = 32_000_000, 2_000_000
+BLOCK_BYTES, SLICE_BYTES, MERGE_ROWS = 32_000_000, 1_000_000, 1_500_000
 
 
 def tokens(texts: pa.ChunkedArray | pa.Array) -> pa.ListArray:
@@ -89,7 +89,14 @@ def _slices(texts: pa.ChunkedArray) -> Iterator[tuple[slice, pa.ListArray]]:
 def _count_block(table: pa.Table, depth: int) -> pa.Table:
     """(block, gram or word, count in training) of the distinct grams and words of a block of texts."""
     weights = np.where(table["train"].to_numpy(), table["n"].to_numpy(), 0)
-    gram_parts, known_parts, count_parts = [], [pa.array(["\n"], pa.large_string())], [np.array([weights.sum()])]
+    known_parts, count_parts = [pa.array(["\n"], pa.large_string())], [np.array([weights.sum()])]
+    gram_parts = []
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        gram, n = (np.concatenate(x) for x in zip(*gram_parts, strict=True))
+        gram_parts.clear()
+        return _distinct(gram, n)
+
     for part, words in _slices(table["text"]):
         coded = words.flatten().dictionary_encode()
         known_parts.append(coded.dictionary)
@@ -98,7 +105,9 @@ def _count_block(table: pa.Table, depth: int) -> pa.Table:
         for n in np.unique(weights[part]):
             distinct, count = _distinct(grams(some.filter(pa.array(weights[part] == n)), depth)[0])
             gram_parts.append((distinct, count * n))
-    gram, n = _distinct(*(np.concatenate(x) for x in zip(*gram_parts, strict=True)))
+        if sum(len(g) for g, _ in gram_parts[1:]) > MERGE_ROWS:
+            gram_parts.append(merge())
+    gram, n = merge()
     coded = pa.concat_arrays(known_parts).dictionary_encode()
     known = coded.dictionary
     counts = np.bincount(coded.indices.to_numpy(), np.concatenate(count_parts), len(known)).astype(np.int64)

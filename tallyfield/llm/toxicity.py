@@ -1,25 +1,27 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-The ordinary dictionary is trained on windows of ordinary text. The toxic one holds the same content and,
-nearer to the data, what training on toxic text adds: byte n-grams that separate the labelled toxic texts
-are chosen greedily, and a dictionary is trained on the passages that hold them. A window's gain is its
-compressed length with the ordinary dictionary less that with the toxic one; a text is described by how
-many of its windows, and what share, reach each gain threshold, and thresholds are calibrated into a
-probability on labelled texts that the dictionaries have not seen.
+One dictionary is trained on windows of toxic texts, the other on windows of ordinary texts, by the same
+steps and to the same size. Both stand behind one background, trained on ordinary texts alone, so that
+what any text holds compresses alike with both: without it, chance matches outweigh the rest. Of each
+class the dictionaries learn the half of the windows that the background compresses worst.
+
+A window is ``WIDTH`` consecutive words. Its gain is its compressed length with the ordinary dictionary
+less that with the toxic one. A text is described by how many of its windows, and what share, reach each
+gain threshold, and the thresholds are calibrated into a probability on labelled texts that no
+dictionary has seen.
 
 zstandard neither compresses very short inputs nor starts a match in the last bytes, so every window is
-followed by one filler that both dictionaries end with.
+followed by one filler that both dictionaries end with. Dictionaries are loaded as content.
 
-Learned from a bounded sample of labelled rows (``SAMPLE`` per class, texts up to ``SAMPLE_BYTES``);
-every text is scored whole, each distinct window of a batch once. Defined results: null and empty texts
-have no windows and get the score of that; a null id is never held out; repeated rows are scored alike;
-without labels of both classes every score is 0.
+Learned from a bounded sample of labelled rows (``SAMPLE`` per class, texts up to ``SAMPLE_BYTES``); every
+text is scored whole, however long. Defined results: null and empty texts have no windows and get the
+score of that; a null id is never held out; repeated rows and ties are scored alike; of a class with
+fewer than three sampled texts each serves for the dictionary and for the calibration; without labels of both
+classes every score is 0; extra columns of any name are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -29,110 +31,80 @@ from pyspark.sql import functions as F
 from . import common
 from .linear import Logistic
 
-SAMPLE, SAMPLE_BYTES = 3000, 40_000
-GRAM, WIDTH, STEPS = 6, 1, 8
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4096
+SAMPLE, SAMPLE_BYTES = 2000, 20_000
+WIDTH, BACKGROUND_WIDTH = 3, 8
+BACKGROUND_BYTES, CLASS_BYTES = 262_144, 8192
+THRESHOLDS = np.arange(-1, 9)
 FILLER = b"\x01the filler that both dictionaries end with, so that one match covers it and short windows compress\x02"
-CACHE = 400_000
 
 
 def windows(text: str | None, width: int = WIDTH) -> list[bytes]:
-    """Consecutive windows of lower-cased (A-Z) words over the whole text."""
+    """Consecutive windows of lower-cased (A-Z) words over the whole text; the last may be shorter."""
     words = (text or "").encode().lower().split()
-    return words if width == 1 else [b" ".join(words[i : i + width]) for i in range(0, len(words), width)]
-
-
-def _padded(words: list[bytes]) -> bytes:
-    return b" " + b" ".join(words) + b" "
-
-
-def _grams(words: list[bytes]) -> np.ndarray:
-    """The distinct byte n-grams of a text, packed into integers."""
-    data = np.frombuffer(_padded(words), np.uint8).astype(np.int64)
-    n = max(0, len(data) - GRAM + 1)
-    return np.unique(sum(data[k : k + n] << (8 * (GRAM - 1 - k)) for k in range(GRAM)))
-
-
-def _marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> set[bytes]:
-    """Byte n-grams that hold many toxic texts and few ordinary ones, chosen greedily, and those as telling beside them."""
-    in_toxic = [_grams(x) for x in toxic]
-    found, n_toxic = np.unique(np.concatenate(in_toxic), return_counts=True)
-    found, n_toxic = found[n_toxic >= 5], n_toxic[n_toxic >= 5]
-    n_ordinary = np.zeros(len(found), np.int64)
-    for x in ordinary:
-        n_ordinary[np.isin(found, _grams(x), assume_unique=True)] += 1
-    rate = len(toxic) / max(1, len(ordinary))
-    some = n_toxic > 4 * rate * (n_ordinary + 1)
-    strong = found[some & (n_toxic >= 0.015 * len(toxic)) & (n_toxic > 8 * rate * (n_ordinary + 1))]
-    cost = dict(zip(found[some].tolist(), (2 * rate * n_ordinary[some]).tolist(), strict=True))
-    chosen, left = set(), [set(x[np.isin(x, found[some], assume_unique=True)].tolist()) for x in in_toxic]
-    while True:
-        worth = {g: n - cost[g] for g, n in Counter(g for x in left for g in x).items()}
-        best = max(worth, key=lambda g: (worth[g], g), default=None)
-        if best is None or worth[best] < max(2, 0.005 * len(toxic)):
-            return {g.to_bytes(GRAM, "big") for g in chosen | set(strong.tolist())}
-        chosen.add(best)
-        left = [x for x in left if best not in x]
-
-
-def _trained(size: int, samples: list[bytes]) -> bytes:
-    """A trained dictionary's content; too little text for training is its own dictionary."""
+    return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(0, len(words), width)]
+
+
+def _trained(size: int, samples: list[bytes], segment: int, gram: int) -> bytes:
+    """A trained dictionary; too little text for training is its own dictionary."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=gram).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
-class Model:
-    """The two dictionaries and the calibration; picklable, compressors are made per worker."""
-
-    def __init__(self, texts: list[str], toxic: np.ndarray, width: int = WIDTH):
-        first = np.arange(len(texts)) % 2 == 0
-        words = [windows(t) if f else [] for t, f in zip(texts, first, strict=True)]
-        part = lambda label: [w for w, f, y in zip(words, first, toxic, strict=True) if f and y == label]
-        marks = _marks(part(1), part(0))
-        telling = lambda w: any(w[i : i + GRAM] in marks for i in range(len(w) - GRAM + 1))
-        passages = [[w for w in x if telling(_padded([w]))] for x in part(1)]
-        base = _trained(ORDINARY_BYTES, [b" ".join(x[i : i + 8]) for x in part(0) for i in range(0, len(x), 8)][:60_000])
-        more = _trained(TOXIC_BYTES, [_padded(p) for p in passages if p])
-        self.width = width
-        self.dictionaries = (base + FILLER, base + b" " + more + b" " + FILLER)
-        gain = Gain(self.dictionaries)
-        rest = ~first
-        described = np.stack([describe(gain, t, width) for t, r in zip(texts, rest, strict=True) if r])
-        self.calibration = Logistic(described, toxic[rest].astype(float))
-
-
-class Gain(dict):
-    """Window to gain in bytes, compressed at its first look-up."""
-
-    def __init__(self, dictionaries: tuple[bytes, bytes]):
-        super().__init__()
+class Lengths:
+    """Compressed lengths of windows with a dictionary's content."""
+
+    def __init__(self, content: bytes):
         parameters = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_BTLAZY2, min_match=4, window_log=16, hash_log=15, chain_log=15, search_log=7, target_length=64,
+            strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, window_log=19, hash_log=18, chain_log=18, search_log=7, target_length=64,
             write_content_size=False, write_checksum=False, write_dict_id=False,
         )
-        self.compressors = []
-        for content in dictionaries:
-            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(compression_params=parameters)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters))
+        dictionary = zstandard.ZstdCompressionDict(content + FILLER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(compression_params=parameters)
+        self._compress = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters).compress
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter((len(self._compress(w + FILLER)) for w in found), np.int64, len(found))
+
+
+class Model:
+    """The contents of the two dictionaries and the calibration; picklable, compressors are made per worker."""
+
+    def __init__(self, texts: list[str], toxic: np.ndarray):
+        learned: dict[int, list[str]] = {}
+        seen, labels = [], []
+        for label in (0, 1):
+            own = [t for t, y in zip(texts, toxic, strict=True) if y == label]
+            learned[label] = [t for i, t in enumerate(own) if i % 3 < 2 or len(own) < 3]
+            kept = [t for i, t in enumerate(own) if i % 3 == 2 or len(own) < 3]
+            seen, labels = seen + kept, labels + [float(label)] * len(kept)
+        background = _trained(BACKGROUND_BYTES, [w for t in learned[0] for w in windows(t, BACKGROUND_WIDTH)], 64, 8)
+        lengths, self.contents = Lengths(background), []
+        for label in (0, 1):
+            found = [w for t in learned[label] for w in windows(t)]
+            size = lengths(found)
+            worst = [w for w, n in zip(found, size >= np.median(size), strict=True) if n] if found else []
+            self.contents.append(background + _trained(CLASS_BYTES, worst, 16, 6))
+        gain = Gain(self.contents)
+        self.calibration = Logistic(np.stack([describe(gain(t)) for t in seen]), np.array(labels))
+
+
+class Gain:
+    """Gains of the windows of a text."""
+
+    def __init__(self, contents: list[bytes]):
+        self.ordinary, self.toxic = (Lengths(c) for c in contents)
 
-    def __missing__(self, window: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        ordinary, toxic = (len(c.compress(b" " + window + b" " + FILLER)) for c in self.compressors)
-        self[window] = ordinary - toxic
-        return ordinary - toxic
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = windows(text)
+        return self.ordinary(found) - self.toxic(found)
 
 
-def describe(gain: Gain, text: str | None, width: int) -> np.ndarray:
-    """Counts and shares of windows at each threshold, the largest gain and the number of windows."""
-    found = windows(text, width)
-    gains = np.fromiter(map(gain.__getitem__, found), np.int64, len(found))
-    reached = np.array([(gains >= k).sum() for k in range(2, STEPS)], float)
-    n = max(1, len(found))
-    return np.concatenate([np.log1p(reached), np.sqrt(reached / n), [min(int(gains.max(initial=0)), 12), np.log1p(len(found))]])
+def describe(gains: np.ndarray) -> np.ndarray:
+    """Counts and shares of windows at each threshold, the largest and the mean gain, and the number of windows."""
+    reached, n = (gains[:, None] >= THRESHOLDS).sum(0), max(1, len(gains))
+    return np.concatenate([np.log1p(reached), np.sqrt(reached / n), [gains.max(initial=-4), gains.sum() / n, np.log1p(len(gains))]])
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, left_out: int = 0) -> DataFrame:
@@ -141,16 +113,16 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     held_out = ~common.in_training(F.col("doc_id"), modulus, left_out)
     read = docs.select("doc_id", held_out.alias("held_out"), F.col("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    if len(texts) < 20 or len(set(known)) < 2:
+    if len(set(known)) < 2:
         return read.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     model = docs.sparkSession.sparkContext.broadcast(Model(texts, np.array(known)))
 
     def scored(batches):
-        gain = Gain(model.value.dictionaries)
+        gain, calibration = Gain(model.value.contents), model.value.calibration
         for batch in batches:
             if batch.num_rows:
-                x = np.stack([describe(gain, t, model.value.width) for t in batch.column("text").to_pylist()])
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(model.value.calibration(x))})
+                x = np.stack([describe(gain(t)) for t in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(calibration(x))})
 
     rows = read.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
