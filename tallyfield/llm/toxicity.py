@@ -85,7 +85,7 @@ class Model:
             found = [w for t in learned[label] for w in windows(t)]
             size = lengths(found)
             worst = [w for w, n in zip(found, size >= np.median(size), strict=True) if n] if found else []
-            self.contents.append(background + _trained(CLASS_BYTES, worst, 16, 6))
+            self.contents.append(background + _trained(CLASS_BYTES, worst, 16, 8))
         gain = Gain(self.contents)
         self.calibration = Logistic(np.stack([describe(gain(t)) for t in seen]), np.array(labels))
 
