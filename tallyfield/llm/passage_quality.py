@@ -7,9 +7,10 @@ that the document is good. Only document labels are used; all weights are learne
 the exact gradient.
 
 Learned from a bounded sample of labelled rows (``SAMPLE`` per class, texts up to ``SAMPLE_BYTES``); every
-passage of every text is scored. Defined results: null and empty texts are one empty passage; a null id
-is never held out; repeated rows are scored alike; without labels of both classes every score is 1, so
-that nothing is rejected unlearned.
+passage of every text is scored, however long. Defined results: null and empty texts are one empty
+passage; a null id is never held out; repeated rows and ties are scored alike; without labels of both
+classes every score is 1, so that nothing is rejected unlearned; extra columns of any name are kept in
+``row`` and not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, SAMPLE_BYTES = 2500, 40_000
+SAMPLE, SAMPLE_BYTES = 2500, 20_000
 PASSAGE, HIDDEN, ATTENTION = 64, 16, 8
 EPOCHS, BATCH, RATE = 24, 256, 0.02
 KEEP_AT = 0.3
@@ -116,7 +117,7 @@ class Network:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int) -> Network | None:
     texts, known = common.labelled_sample(docs, labels, label, modulus, left_out, SAMPLE, SAMPLE_BYTES)
-    if len(texts) < 20 or len(set(known)) < 2:
+    if len(set(known)) < 2:
         return None
     return Network([encode(t) for t in texts], np.array(known, float))
 

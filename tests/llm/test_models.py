@@ -9,9 +9,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from tallyfield.llm import context_tree, main_text, passage_quality, toxicity
+from tallyfield.llm import common, context_tree, main_text, passage_quality, toxicity
 
 EDGE = [(1, None), (2, ""), (3, " \n"), (4, "One two ONE"), (4, "One two ONE"), (None, "no id"), (5, "ü " * 4000)]
 
@@ -135,6 +136,44 @@ def test_toxicity(spark):
     assert none.where("score <> 0 OR predicted <> 0").count() == 0
 
 
+def test_gains_by_plain_compression():
+    rng = random.Random(3)
+    texts = [sentences(rng, 60, ["zounds", "blackguard"] if i % 2 else ()) for i in range(60)]
+    model = toxicity.Model(texts, np.arange(60) % 2)
+    gain = toxicity.Gain(model.contents)
+    plain = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, window_log=19, hash_log=18, chain_log=18, search_log=7, target_length=64,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+    size = lambda content, w: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + toxicity.FILLER, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=plain).compress(w + toxicity.FILLER))
+    text = "Sing ZOUNDS the or re zounds ing"
+    found = [b" sing zounds the ", b" or re zounds ", b" ing "]
+    assert toxicity.windows(text) == found and toxicity.windows(None) == toxicity.windows(" \n") == []
+    assert gain(text).tolist() == [size(model.contents[0], w) - size(model.contents[1], w) for w in found]
+    assert toxicity.describe(np.array([5, 0, -1])).tolist()[:10] == np.log1p([3, 2, 1, 1, 1, 1, 1, 0, 0, 0]).tolist()
+
+
+@pytest.mark.parametrize("n", [2, 3, 19, 40])
+def test_few_labels(spark, n):
+    # toxic ones at odd places only, so that halves by place lack a class; ids with both labels and repeated ids
+    docs = [(i, f"word{i} zounds blackguard" if i % 2 else f"the plain story {i}") for i in range(60)] + [(6, "again"), (None, None), (61, "")]
+    labels = [(i, i % 2) for i in range(60) if not left_out(i, 5, 0)][:n] + [(70, 1), (4, None)]
+    known = frame(spark, labels, "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    extra = frame(spark, docs).withColumns({"score": F.lit("x"), "__label": F.lit(1), "held_out": F.lit(0), "predicted": F.lit(0)})
+    for op in (toxicity, passage_quality):
+        out = op.score(extra, known).collect()
+        assert len(out) == len(docs) and all(0 <= r["score"] <= 1 for r in out)
+        assert op.score(extra.where("false"), known).count() == 0
+    texts, found = common.labelled_sample(frame(spark, docs), known.union(frame(spark, [(3, 0, 0), (3, 1, 1)], "doc_id long, toxic int, quality int")), "toxic", 5, 0, 5, 1000)
+    assert len(texts) == len(found) <= 10 and not any("word3 " in t for t in texts)
+
+
+def test_repeated_id_is_one_sample(spark):
+    docs = [(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, None), (4, "long " * 100)]
+    labels = frame(spark, [(1, 1), (1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, toxic int")
+    assert common.labelled_sample(frame(spark, docs), labels, "toxic", 7, 99, 10, 200) == (["text 0", "other"], [1, 0])
+
+
 def test_passage_quality(spark):
     rng = random.Random(6)
     docs, labels = list(EDGE), []
