@@ -245,3 +245,57 @@ def test_marks_do_not_take_the_main_text():
     comments = f"<article>{inner}</article><div class='comments'>" + "<p>nice one, thanks a lot for it all</p>" * 50 + "</div>"
     assert main_text.main_text(comments, tree) == "\n".join(text)
     assert main_text.main_text(f"<div style='display:none'>{inner}</div>", tree) == ""
+
+
+def grown():
+    return main_text.grow(np.array([r for r, _ in main_text.TABLE], float), np.array([y for _, y in main_text.TABLE], float))
+
+
+def test_link_bars_adverts_and_teasers():
+    tree = grown()
+    text = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    inner = "".join(f"<p>{t}</p>" for t in text)
+    bar = "<p><a>Home</a> <a>World</a> <a>Sport</a></p>"
+    advert = "<div>Buy it now at <a>Shop of deals</a></div>"
+    for page in (
+        f"<article><a>A teaser of another story</a></article><div id=content>{inner}</div>", f"<article><p>Other story</p></article><div id=content>{inner}</div>",
+        f"<article class='post share'>{inner}</article>", f"<article>{bar}{inner}</article>", f"<article>{inner.replace('</p><p>', '</p>' + advert + '<p>', 1)}</article>",
+        f"<div>{bar}</div><div>{inner}</div><div>{bar}</div>",
+    ):
+        lines = [x for x in main_text.main_text(page, tree).split("\n") if x != "Other story"]
+        assert lines == text, page[:80]
+
+
+def planted_page(rng):
+    """A page without article, classes or roles, and its paragraphs: only counts and densities tell them from the rest."""
+    say = lambda n: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    links = lambda n: [f"<div><a href=x>{say(rng.randrange(1, 4))}</a></div>" for _ in range(n)]
+    body = [say(rng.choice([14, 25, 60, 120])) for _ in range(rng.randrange(4, 9))]
+    boxes = [f"<p>{t}</p>" for t in body]
+    boxes.insert(rng.randrange(1, len(boxes)), f"<div>{say(3)} <a href=x>{say(3)}</a></div>")
+    return "<html><body>" + "".join(links(rng.randrange(4, 9))) + f"<div>{say(2)}</div>" + "".join(links(2)) + "".join(boxes) + "".join(links(rng.randrange(3, 7))) + "</body></html>", body
+
+
+def test_counts_and_densities_decide():
+    tree, rng = grown(), random.Random(12)
+    right = wrong = missed = decided = blocks = 0
+    for _ in range(200):
+        page, body = planted_page(rng)
+        got = main_text.main_text(page, tree).split("\n")
+        right += len(set(got) & set(body))
+        wrong += len(set(got) - set(body))
+        missed += len(set(body) - set(got))
+        for row in main_text.features(main_text.blocks(page)):
+            node = tree
+            while isinstance(node, tuple):
+                last, node = node[0], node[2] if row[node[0]] <= node[1] else node[3]
+            blocks += 1
+            decided += last < 6
+    assert right / (right + wrong) > 0.98 and right / (right + missed) > 0.98 and decided > 0.5 * blocks
+    assert all(main_text.judge(tree, r) == bool(y) for r, y in main_text.TABLE)
+
+
+def test_main_text_of_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + "long text " * 200_000 + "</p>", "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    row = main_text.extract(pages).first()
+    assert row["n_chars"] == len(row["text"]) == 1_999_999 and main_text.extract(pages.where("false")).count() == 0
