@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Removes a query's shuffle files when it ends: what is written need not be computed again.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the word definitions: space and U+0009 to U+000D.
 SPACE = r"[ \t-\r]+"
 
@@ -75,7 +77,12 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder: read from there, it needs no recomputation."""
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    frame.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
