@@ -35,7 +35,7 @@ from . import common
 
 #: Bytes of context; a gram and a tree key fit into 64 bits up to 6.
 DEPTH = 5
-BLOCK_BYTES, SLICE_BYTES, MERGE_ROWS = 32_000_000, 1_000_000, 1_500_000
+BLOCK_BYTES, SLICE_BYTES, MERGE_ROWS = 16_000_000, 1_000_000, 1_500_000
 
 
 def tokens(texts: pa.ChunkedArray | pa.Array) -> pa.ListArray:
