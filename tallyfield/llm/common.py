@@ -103,3 +103,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     found = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).groupBy("__id", "__label").agg(F.min("text").alias("text"))
     rows = found.toPandas().sort_values(["__id"], kind="stable")
     return rows["text"].tolist(), rows["__label"].astype(int).tolist()
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """The sums of an int array up to each place, in two levels of about the root of its size, so that few elements are copied."""
+    none = F.array().cast("array<int>")
+    upto = lambda part: F.aggregate(part, none, lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + x)))
+    size = lambda v: F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+    parts = lambda v: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / size(v)).cast("int")), lambda c: upto(F.slice(v, c * size(v) + 1, size(v))))
+    before = lambda p: F.concat(F.array(F.lit(0)), upto(F.transform(p, lambda x: F.get(x, F.size(x) - 1))))
+    joined = lambda p: let(before(p), lambda b: F.flatten(F.transform(p, lambda x, i: F.transform(x, lambda y: y + F.get(b, i)))))
+    return let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(let(parts(v), joined)))
+
+
+def small(frame: DataFrame, byte_bound: int, row_bytes: Column) -> bool:
+    """Whether the rows, measured first, take at most ``byte_bound`` bytes; what is broadcast is held against this."""
+    return (frame.agg(F.sum(row_bytes).alias("n")).first()["n"] or 0) <= byte_bound

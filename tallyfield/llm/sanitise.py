@@ -7,17 +7,21 @@ check is dropped. Their values are the protected entities. How strongly a term `
     disclosure(t, e) = log2(n(t, e) * D / (n(t) * n(e))) / log2(D / n(e)),   at most 1
 
 with D documents, n(t) and n(e) those that hold the term or the entity, and n(t, e) those where the
-term stands within ``near`` words of the entity, across line ends. Terms are counted and found without the
-punctuation around them. A pair needs ``support`` documents with different
+term stands within ``near`` words of the entity, across line ends; rows that repeat id and text are one
+document. All three count the same tokens: runs without white space, without the punctuation around
+them; a token that touches an entity is none. A pair needs ``support`` documents with different
 contexts, so that copies of one passage prove nothing. In every document, whether it holds the entity
 or not, terms whose disclosure reaches ``remove_at`` are removed, those that reach ``generalise_at``
 become ``[TERM]``.
 
-Everything is DataFrame code. Document counts of terms are pre-aggregated before they are dealt by
-term; only entity contexts and chosen terms (not texts) are joined.
+Everything is DataFrame code. Only terms that stand near an entity often enough are counted in the whole
+corpus, pre-aggregated before they are dealt; entities are joined under a salt, since one may hold a large
+part of all rows. Candidate and chosen terms are broadcast if their measured bytes are few, else dealt.
+Places are running sums, so texts with many spans take time in proportion.
 
-Defined results: null and empty texts have no spans; repeated rows get the same spans each; an empty
-table gives an empty result.
+Defined results: null and empty texts have no spans; repeated rows get the same spans each; of terms and
+spans that tie all count, ordered by start and kind; very long texts are read whole; extra columns of any
+name are kept in ``row`` and not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,16 +46,13 @@ PATTERNS = {
 #: A text without this has no valid match of the kind.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": "", "term": "[TERM]"}
-#: Chosen terms, and documents with chosen terms, up to which they are broadcast; each document has at most its distinct terms.
-BROADCAST_ROWS = 100_000
+#: Measured bytes of terms, or of the documents that hold them, up to which they are broadcast, and of one such row beside its text.
+BROADCAST_BYTES, ROW_BYTES = 8_000_000, 64
+#: Parts into which each entity's rows are dealt.
+SALTS = 16
 SPAN = "array<struct<kind:string,at:int,end:int,value:string>>"
 
 
-def _let(value: Column, f) -> Column:
-    """f(value) with value evaluated once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _luhn(digits: Column) -> Column:
     """The check sum of 12 to 19 digits."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda x, i: F.when(i % 2 == 0, x.cast("int")).otherwise(x.cast("int") * 2))
@@ -73,20 +74,19 @@ def _valid(kind: str, value: Column) -> Column:
 def _spans(kind: str, text: Column) -> Column:
     """Valid matches of a kind with their places in code points, end exclusive."""
     rest, found = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pairs = F.arrays_zip(rest.alias("rest"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("spans"))
+    # the piece after the last match has no match beside it
+    pairs = F.filter(F.arrays_zip(rest.alias("rest"), found.alias("value")), lambda x: x["value"].isNotNull())
 
-    def step(a: Column, x: Column) -> Column:
-        at = a["end"] + F.length(x["rest"])
-        end = at + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), at.alias("at"), end.alias("end"), x["value"].alias("value"))
-        keep = F.when(_valid(kind, x["value"]), F.concat(a["spans"], F.array(span))).otherwise(a["spans"])
-        return F.struct(F.coalesce(end, at).alias("end"), keep.alias("spans"))
+    def placed(p: Column) -> Column:
+        ends = common.running_sums(F.transform(p, lambda x: F.length(x["rest"]) + F.length(x["value"])))
+        spans = lambda e: F.transform(p, lambda x, i: _span(F.lit(kind), F.get(e, i) - F.length(x["value"]), F.get(e, i), x["value"]))
+        return F.filter(common.let(ends, spans), lambda s: _valid(kind, s["value"]))
 
-    # the piece after the last match has no match beside it
-    return F.when(text.rlike(NEEDS[kind]), F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), start, step, lambda a: a["spans"])).otherwise(
-        F.array().cast(SPAN)
-    )
+    return F.when(text.rlike(NEEDS[kind]), common.let(pairs, placed)).otherwise(F.array().cast(SPAN))
+
+
+def _span(kind: Column, at: Column, end: Column, value: Column) -> Column:
+    return F.struct(kind.alias("kind"), at.alias("at"), end.alias("end"), value.alias("value"))
 
 
 def ordered(spans: Column, kinds: tuple[str, ...] = (*KINDS, "removed", "term")) -> Column:
@@ -117,7 +117,7 @@ def _nearest(short: Column, whole: Column, was_cut: Column, near: int, backwards
         found = common.words(F.lower(own))
         return F.reverse(found) if backwards else found
 
-    return F.slice(_let(split(short), lambda w: F.when(was_cut & (F.size(w) <= near), split(whole)).otherwise(w)), 1, near)
+    return F.slice(common.let(split(short), lambda w: F.when(was_cut & (F.size(w) <= near), split(whole)).otherwise(w)), 1, near)
 
 
 def contexts(texts: DataFrame, near: int) -> DataFrame:
@@ -134,50 +134,57 @@ def contexts(texts: DataFrame, near: int) -> DataFrame:
     return sides.select("key", "entity", F.filter(terms, lambda t: F.length(t) > 1).alias("terms"), F.xxhash64("left", "right").alias("context"))
 
 
-def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(key, term, removed) for every document that holds a term which reveals an entity, be the entity there or not."""
+def disclosures(texts: DataFrame, near: int, support: int) -> DataFrame:
+    """(entity, term, n_e, n_te, n_t, n, share) of the terms that stand near an entity in ``support`` contexts."""
     found = common.cut(contexts(texts, near))
-    n_entity = found.groupBy("entity").agg(F.count_distinct("key").alias("n_e"), F.count_distinct("context").alias("n_context"))
+    n_entity = found.groupBy("entity").agg(F.count_distinct("key").alias("n_e"), F.count_distinct("context").alias("n_context")).where(F.col("n_context") >= support)
+    dealt = n_entity.select("entity", "n_e", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     pairs = (
-        found.join(n_entity.where(F.col("n_context") >= support), "entity")
+        found.withColumn("salt", F.pmod(F.xxhash64("key", "context"), F.lit(SALTS)).cast("int")).join(dealt, ["entity", "salt"])
         .select("key", "entity", "n_e", "context", F.explode("terms").alias("term"))
         .groupBy("entity", "n_e", "term")
         .agg(F.count_distinct("key").alias("n_te"), F.count_distinct("context").alias("n_seen"))
         .where(F.col("n_seen") >= support)
-    )
-    vocabulary = F.array_distinct(F.transform(common.words(F.lower("text")), bare))
-    held = texts.select("key", F.explode(vocabulary).alias("term"))
-    n_term = held.groupBy("term").agg(F.count("*").alias("n_t"))
+    )
+    pairs = common.cut(pairs)
+    n_term = held(texts, pairs.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(n_term, "term").withColumn("n", F.lit(texts.count()))
     mutual = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    share = F.when(F.col("n") > F.col("n_e"), mutual / F.log2(F.col("n") / F.col("n_e"))).otherwise(0.0)
-    over = scored.withColumn("share", share).where(F.col("share") >= generalise_at)
+    share = F.when(F.col("n") > F.col("n_e"), F.least(mutual / F.log2(F.col("n") / F.col("n_e")), F.lit(1.0))).otherwise(0.0)
+    return scored.withColumn("share", share)
+
+
+def held(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, the columns of terms) for each document and each of the terms that it holds."""
+    vocabulary = F.array_distinct(F.transform(common.words(F.lower("text")), bare))
+    few = common.small(terms, BROADCAST_BYTES, F.octet_length("term") + ROW_BYTES)
+    return texts.select("key", F.explode(vocabulary).alias("term")).join(F.broadcast(terms) if few else terms, "term")
+
+
+def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """(key, term, removed) for every document that holds a term which reveals an entity, be the entity there or not."""
+    over = disclosures(texts, near, support).where(F.col("share") >= generalise_at)
     # one row a term, whatever the number of its entities
-    chosen = common.cut(over.groupBy("term").agg(F.max(F.col("share") >= remove_at).alias("removed")))
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return held.join(F.broadcast(chosen) if few else chosen, "term")
+    return held(texts, common.cut(over.groupBy("term").agg(F.max(F.col("share") >= remove_at).alias("removed"))))
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, terms' spans): every occurrence of a chosen term in its documents, by the tokens' running length."""
     chosen = common.cut(terms.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("chosen")))
     tokens = F.regexp_extract_all(F.col("text"), F.lit(r"[^ \t-\r]+|[ \t-\r]+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("spans"))
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["end"] + F.length(x)
-        value = bare(x)
-        removed = F.col("chosen")[F.lower(value)]
-        kind = F.when(removed, F.lit("removed")).otherwise(F.lit("term"))
+    def span(token: Column, end: Column) -> Column:
+        value = bare(token)
+        kind = F.when(F.col("chosen")[F.lower(value)], F.lit("removed")).otherwise(F.lit("term"))
         # the punctuation before the value stays in the text
-        at = a["end"] + F.length(F.regexp_extract(x, r"^[^\p{L}\p{M}\p{N}]*+", 0))
-        span = F.struct(kind.alias("kind"), at.alias("at"), (at + F.length(value)).alias("end"), value.alias("value"))
-        return F.struct(end.alias("end"), F.when(removed.isNotNull(), F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
+        at = end - F.length(token) + F.length(F.regexp_extract(token, r"^[^\p{L}\p{M}\p{N}]*+", 0))
+        return F.when(F.col("chosen")[F.lower(value)].isNotNull(), _span(kind, at, at + F.length(value), value))
 
+    placed = lambda t: common.let(common.running_sums(F.transform(t, F.length)), lambda e: F.transform(t, lambda x, i: span(x, F.get(e, i))))
     # the documents are dealt by key only if the chosen ones are too many to broadcast
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = common.small(chosen, BROADCAST_BYTES, ROW_BYTES + F.aggregate(F.map_keys("chosen"), F.lit(0), lambda a, x: a + F.octet_length(x) + 16))
     found = texts.join(F.broadcast(chosen) if few else chosen, "key")
-    return found.select("key", F.aggregate(tokens, start, step, lambda a: a["spans"]).alias("more")).dropDuplicates(["key"])
+    return found.select("key", F.filter(common.let(tokens, placed), lambda s: s.isNotNull()).cast(SPAN).alias("more"))
 
 
 def spans(
@@ -186,6 +193,8 @@ def spans(
 ) -> DataFrame:
     """Per row of docs: its columns in ``row``, ``base`` (base spans) and ``spans`` (with the terms' spans)."""
     texts = docs.select(common.row_key(id_column, text_column).alias("key"), common.whole_text(text_column).alias("text"))
+    if texts.groupBy("key").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["key"])
     more = term_spans(texts, disclosing(texts, near, support, generalise_at, remove_at))
     every = docs.select(common.row_key(id_column, text_column).alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"), base_spans(common.whole_text(text_column)).alias("base"))
     none = F.array().cast(SPAN)

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.llm import decontaminate, rule_ledger, sanitise
+from tallyfield.llm import common, decontaminate, rule_ledger, sanitise
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [
@@ -151,9 +151,71 @@ def test_terms_across_lines_and_in_punctuation(spark):
     assert all(texts[i] == t for i, t in docs[:60])
 
 
-@pytest.mark.parametrize("rows", [100_000, 0])
-def test_terms_are_replaced_where_the_entity_is_not(spark, monkeypatch, rows):
-    monkeypatch.setattr(sanitise, "BROADCAST_ROWS", rows)
+BARE = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def brute_disclosures(docs, near, support):
+    """(entity, term): (n_e, n_te, n_t, n), by the definitions."""
+    docs = sorted({(str(i), t or "") for i, t in docs})
+    holds, entities, pairs, contexts, with_entity = {}, {}, {}, {}, {}
+    for d, (_, text) in enumerate(docs):
+        tokens = [(m.start(), m.end(), BARE.sub("", m.group()).lower()) for m in WORD.finditer(text)]
+        for _, _, t in tokens:
+            holds.setdefault(t, set()).add(d)
+        for part in base(text).split(",") if base(text) else ():
+            kind, a, b = part.split(":")
+            name = f"{kind}:{text[int(a) : int(b)].lower()}"
+            left, right = [t for x, y, t in tokens if y <= int(a)][-near:][::-1], [t for x, y, t in tokens if x >= int(b)][:near]
+            with_entity.setdefault(name, set()).add(d)
+            context = (tuple(left), tuple(right))
+            entities.setdefault(name, set()).add(context)
+            for t in {*left, *right}:
+                if len(t) > 1:
+                    pairs.setdefault((name, t), set()).add(d)
+                    contexts.setdefault((name, t), set()).add(context)
+    return {k: (len(with_entity[k[0]]), len(v), len(holds[k[1]]), len(docs)) for k, v in pairs.items() if len(contexts[k]) >= support and len(entities[k[0]]) >= support}
+
+
+@pytest.mark.parametrize("small", [8_000_000, 0])
+def test_disclosures_by_definition(spark, monkeypatch, small):
+    monkeypatch.setattr(sanitise, "BROADCAST_BYTES", small)
+    rng = random.Random(7)
+    some = ["alpha", "beta,", "(gamma)", "Delta", "mail:z@y.org", "z@y.org", "\n", "mail", "+49 30 1234567", "\"zorro99\"", "x@y.zz."]
+    docs = [(i, " ".join(rng.choices(some, k=rng.randrange(1, 30)))) for i in range(60)] + [(1, None), (None, "mail z@y.org")] * 2
+    texts = frame(spark, docs).select(common.row_key("doc_id", "text").alias("key"), common.whole_text("text").alias("text")).dropDuplicates(["key"])
+    out = sanitise.disclosures(texts, 4, 3).collect()
+    assert {(r["entity"], r["term"]): (r["n_e"], r["n_te"], r["n_t"], r["n"]) for r in out} == brute_disclosures(docs, 4, 3)
+    assert all(r["share"] <= 1 and r["n_te"] <= min(r["n_t"], r["n_e"]) for r in out) and {"mail", "zorro99"} <= {r["term"] for r in out}
+
+
+def test_many_spans(spark):
+    docs = [(1, "a@b.c, " * 12_000), (2, "+49 30 1234567; " * 3000)]
+    rows = sanitise.spans(frame(spark, docs).withColumns({"key": F.lit(1), "base": F.lit(2), "spans": F.lit("x"), "row": F.lit(3)}))
+    found = {r["i"]: r["s"] for r in rows.select("row.doc_id", sanitise.written(F.col("base")).alias("s")).withColumnRenamed("doc_id", "i").collect()}
+    assert found == {i: base(t) for i, t in docs}
+
+
+def test_row_keys_tell_nulls_apart(spark):
+    rows = [(None, "passage"), ("passage", None), (None, None), ("", None), (None, ""), ("", ""), ("a", "bc"), ("ab", "c")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert docs.select(common.row_key("doc_id", "text")).distinct().count() == len(rows)
+    items = spark.createDataFrame([(1, "passage")], "item_id long, text string")
+    told = {(r["doc_id"], r["n_words"], r["contaminated"]) for r in decontaminate.report(docs, items).collect()}
+    assert told == {(None, 1, True), ("passage", 0, False), (None, 0, False), ("", 0, False), ("a", 1, False), ("ab", 1, False)}
+    pii = spark.createDataFrame([(None, "a@b.c"), ("a@b.c", None)], "doc_id string, text string")
+    assert {(r["i"], r["n"]) for r in sanitise.spans(pii).select(F.col("row.doc_id").alias("i"), F.size("base").alias("n")).collect()} == {(None, 1), ("a@b.c", 0)}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 1000])
+def test_running_sums(spark, n):
+    values = [(i * 7) % 13 for i in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<int>").select(common.running_sums(F.col("v")).alias("s")).first()
+    assert row["s"] == [sum(values[: i + 1]) for i in range(n)]
+
+
+@pytest.mark.parametrize("small", [8_000_000, 0])
+def test_terms_are_replaced_where_the_entity_is_not(spark, monkeypatch, small):
+    monkeypatch.setattr(sanitise, "BROADCAST_BYTES", small)
     rng = random.Random(6)
     plain = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=12))
     docs = [(i, plain()) for i in range(60)]
