@@ -80,12 +80,20 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for frame in frames:
+        for folder in {path.rsplit("/", 1)[0] for path in frame.inputFiles()}:
+            where = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, left_out: int, sample: int, sample_bytes: int) -> tuple[list[str], list[int]]:
     """Texts and labels of a bounded sample: at most ``sample`` ids per class by hash of the id, none of those left out.
 

@@ -35,7 +35,9 @@ from . import common
 
 #: Bytes of context; a gram and a tree key fit into 64 bits up to 6.
 DEPTH = 5
-BLOCK_BYTES, SLICE_BYTES, MERGE_ROWS = 16_000_000, 1_000_000, 1_500_000
+BLOCK_BYTES, SLICE_BYTES, MERGE_ROWS = 20_000_000, 1_000_000, 1_500_000
+#: Measured bytes of gram scores up to which they are broadcast, else dealt, and of one of them.
+BROADCAST_BYTES, SCORE_BYTES = 48_000_000, 16
 
 
 def tokens(texts: pa.ChunkedArray | pa.Array) -> pa.ListArray:
@@ -174,10 +176,11 @@ def predictions(levels: list[DataFrame]) -> DataFrame:
 
 
 def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
-    """(gram, score): log10 of the probability of the gram's byte in its context."""
+    """(gram, score), written: log10 of the probability of the gram's byte in its context."""
     node = F.struct(F.col("at").bitwiseAND(F.lit(255).cast("long")).alias("k"), F.col("p").alias("v"))
     # at most 255 decisions a context
-    by_context = predictions(tree(counted, depth)).groupBy(F.shiftrightunsigned("at", 8).alias("context")).agg(F.map_from_entries(F.collect_list(node)).alias("p"))
+    levels = tree(counted, depth)
+    by_context = predictions(levels).groupBy(F.shiftrightunsigned("at", 8).alias("context")).agg(F.map_from_entries(F.collect_list(node)).alias("p"))
     symbol = F.col("gram").bitwiseAND(F.lit(255).cast("long"))
     product = F.lit(1.0)
     for k in range(8):
@@ -186,7 +189,9 @@ def gram_scores(counted: DataFrame, depth: int) -> DataFrame:
         product = product * F.abs(1 - bit - F.element_at("p", number))
     met = counted.select("gram", F.shiftrightunsigned("gram", 8).alias("context")).join(by_context, "context")
     # seven digits, which are shuffled more tightly
-    return met.select("gram", F.log10(product).cast("float").cast("double").alias("score"))
+    scored = common.written(met.select("gram", F.log10(product).cast("float").cast("double").alias("score")), "gram-scores")
+    common.forget(*levels)
+    return scored
 
 
 class Table:
@@ -255,8 +260,9 @@ def score(
     by_word = common.written(pairs.where("word is not null").groupBy("word").agg(F.sum("n").alias("value")), "words")
     total = by_word.where("value > 0").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     by_gram = common.written(pairs.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    scored = common.written(gram_scores(by_gram, depth), "gram-scores")
-    grams_known = pairs.where("gram is not null").select("block", "gram").join(scored, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("score").alias("value"))
+    scored = gram_scores(by_gram, depth)
+    few = common.small(scored, BROADCAST_BYTES, F.lit(SCORE_BYTES))
+    grams_known = pairs.where("gram is not null").select("block", "gram").join(F.broadcast(scored) if few else scored, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("score").alias("value"))
     words_known = pairs.where("word is not null").select("block", "word").join(by_word, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("value").cast("double").alias("value"))
     known = grams_known.union(words_known)
     id_type = docs.schema[id_column].dataType.simpleString()

@@ -68,7 +68,8 @@ def brute_score(text, training, depth):
 
 
 @pytest.mark.parametrize("depth", [1, 3])
-def test_context_tree_by_definition(spark, depth):
+def test_context_tree_by_definition(spark, depth, monkeypatch):
+    monkeypatch.setattr(context_tree, "BROADCAST_BYTES", 0 if depth == 1 else 10**6)
     docs = [(i, t) for i, t in enumerate(["ab abc", "AB ab", "", "é ab", None, "b", "ab abc", "c\tab ab", "abcd", "ba ab", "ab", "aab", "ab b", "é"])] + [(1, "AB ab")] * 3 + [(None, "ab abc"), (None, "ab abc"), (None, None)]
     training = [t for i, t in docs if not left_out(i, 7, 2)]
     assert len(training) < len(docs)
