@@ -16,11 +16,15 @@ Classes that share a band hash are candidates. They are never expanded into pair
    so that little more than true links leaves it; those are confirmed on full sets. Links inside a
    component need no test, since they change nothing.
 
-With 4 samples in each of 32 bands a pair of similarity 0.8 is missed with probability 5e-8.
+With 4 samples in each of 32 bands a pair of similarity 0.8 is missed by all with probability 5e-8; the
+sketch screen, six standard deviations wide, misses it with about as little. Sizes and remainders are
+bounds and miss nothing. A bucket's classes outside its largest component are dealt in parts of ``PART``
+to meet the others, so that no task holds a large bucket.
 
 Defined results: a text without words has the empty set and is linked with nothing; fewer words than a
 shingle are one shingle, the whole sequence; ties take the smallest id; rows that repeat id and text are one
-row; an empty table gives an empty result. Shingles are compared by 64-bit hashes.
+row; very long texts are read whole; extra columns of any name are kept or not read; an empty table gives an
+empty result. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,10 +41,12 @@ from . import common
 
 SAMPLES, BANDS, ROWS, BITS = 256, 32, 4, 1024
 HUBS = 2
-#: Sketch estimates this far below the threshold are still confirmed: four standard deviations.
-SLACK = 0.11
-#: Rows of the table of candidate classes up to which it is broadcast; beyond, Spark deals both sides.
-BROADCAST_ROWS = 1_000_000
+#: Sketch estimates this far below the threshold are still confirmed: six standard deviations.
+SLACK = 0.165
+#: Measured bytes of the candidates' keys up to which they are broadcast, and of one of them; beyond, Spark deals both sides.
+BROADCAST_BYTES, KEY_BYTES = 32_000_000, 40
+#: Classes of a bucket that meet the others in one task; a larger bucket is dealt in parts.
+PART = 512
 
 _seeds = np.random.default_rng(20).integers(0, 2**63, (3, SAMPLES), dtype=np.uint64)
 _XOR, _MULTIPLY, _MIX = _seeds[0], _seeds[1] | np.uint64(1), _seeds[2] | np.uint64(1)
@@ -173,12 +179,13 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, size: int, text_column
     degree = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
     hubs = buckets.select("band", "node").join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))
 
-    short = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int"))
-    members = common.cut(classes.join(buckets.select("node").distinct(), "node").select("key", "node", "sketch", short.alias("bands")))
-    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    members = common.cut(classes.join(buckets.select("node").distinct(), "node").select("key", "node", "sketch", "bands"))
+    keys = members.select("key")
+    few = common.small(keys, BROADCAST_BYTES, F.lit(KEY_BYTES))
     texts = docs.select(key.alias("key"), common.whole_text(text_column).alias("text"))
-    sets = texts.join(F.broadcast(members) if few else members, "key").select("node", "sketch", "bands", F.array_distinct(shingles(F.col("text"), size)).alias("shingles"))
-    found = common.written(sets.dropDuplicates(["node"]), "members")
+    # only the keys are broadcast; the sets, which are few, meet the rest by key
+    sets = texts.join(F.broadcast(keys) if few else keys, "key").select("key", F.array_distinct(shingles(F.col("text"), size)).alias("shingles"))
+    found = common.written(sets.join(members, "key").select("node", "sketch", "bands", "shingles").dropDuplicates(["node"]), "members")
 
     to_hub = buckets.select("band", F.col("node").alias("a")).join(hubs, "band").select("a", F.col("hub").alias("b"))
     close = _sketched(to_hub.where("a <> b").distinct(), found, percent)
@@ -188,13 +195,15 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, size: int, text_column
     labels = components(hub_links)
     labelled = buckets.join(labels, "node", "left").select("band", "place", "node", F.coalesce("label", "node").alias("label"))
     sizes = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("band", "top")
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("labels"), F.sum("n").alias("size"))
+    mixed = mixed.where("labels > 1").select("band", "top", F.ceil(F.col("size") / PART).cast("int").alias("parts"))
     words = [F.col("sketch")[i].alias(f"_{i}") for i in range(BITS // 64)]
     rest = F.array_distinct(F.transform("shingles", lambda x: (x % 32749).cast("smallint")))
     facts = found.select("node", F.size("shingles").alias("n"), "bands", rest.alias("rest"), *words)
     still = common.written(labelled.join(mixed, "band").join(facts, "node"), "mixed")
-    left = still.where("label <> top").select("band", *[F.col(c).alias(f"a_{c.removeprefix('_')}") for c in still.columns if c not in ("band", "top")])
-    right = still.select("band", "top", *[F.col(c).alias(f"b_{c.removeprefix('_')}") for c in still.columns if c not in ("band", "top", "place")])
+    side = lambda rows, p, out: rows.select("band", "part", *[F.col(c).alias(c if c == "top" else f"{p}_{c.removeprefix('_')}") for c in rows.columns if c not in ("band", "part", "parts", *out)])
+    left = side(still.where("label <> top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "a", ("top",))
+    right = side(still.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "b", ("place",))
     # two classes outside of the largest component would meet twice
     once = (F.col("b_label") == F.col("top")) | (F.col("a_node") < F.col("b_node"))
     sized = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
@@ -204,7 +213,7 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, size: int, text_column
     both = F.size(F.array_intersect("a_rest", "b_rest")) + F.least(F.col("a_n") - F.size("a_rest"), F.col("b_n") - F.size("b_rest"))
     bound = 100 * both >= percent * (F.col("a_n") + F.col("b_n") - both)
     near = (F.col("a_label") != F.col("b_label")) & once & sized & (odd_bits("a_", "b_") <= most_odd_bits(percent)) & first_band & bound
-    pairs = left.join(right, "band").where(near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = left.join(right, ["band", "part"]).where(near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     return hub_links.union(_confirmed(pairs, found, percent))
 
 

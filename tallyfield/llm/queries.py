@@ -120,6 +120,18 @@ ORACLES: dict[str, str] = {
                     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
                     OR 10 * n_capitals > 4 * word_chars OR 10 * n_same > 2 * n_words) AS kept
         FROM m""",
+    "op7_near_duplicates": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}') AS w FROM documents),
+        s AS (SELECT DISTINCT r, w[i] || ' ' || w[i + 1] AS g FROM d, LATERAL (SELECT unnest(range(1, len(w))) AS i) WHERE len(w) > 1
+              UNION ALL SELECT r, w[1] FROM d WHERE len(w) = 1),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        t AS (SELECT r, doc_id AS m FROM d UNION SELECT e.b, t.m FROM t JOIN e ON e.a = t.r)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept
+        FROM d LEFT JOIN n USING (r) JOIN t USING (r) GROUP BY r, doc_id, n""",
     "op5_decontamination": r"""
         WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(
                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -81,6 +81,28 @@ def test_near_duplicates(spark, size):
     assert near_duplicates.classify(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [2])
+def test_large_mixed_buckets_are_dealt(spark, monkeypatch, size):
+    monkeypatch.setattr(near_duplicates, "PART", 3)
+    monkeypatch.setattr(near_duplicates, "BROADCAST_BYTES", 0)
+    rng = random.Random(11)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    docs = [(i, t) for i, t in enumerate(variants(rng, base, 60, 0.09))] + [(100, "very " * 100_000 + "long")]
+    out = near_duplicates.classify(frame(spark, docs).withColumns({"key": F.lit(1), "band": F.lit("x")}), size=size).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(classes(docs, size))
+
+
+def test_no_link_is_missed_on_real_rows(spark):
+    import duckdb
+
+    from tallyfield.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = duckdb.sql(f"WITH documents AS (SELECT * FROM '{folder}/documents.parquet') SELECT * FROM ({queries.ORACLES['op7_near_duplicates']})").fetchall()
+    out = queries.op7_near_duplicates(spark, folder).collect()
+    assert sorted(map(tuple, out)) == sorted(want) and sum(not r["kept"] for r in out) > 5
+
+
 def test_null_and_repeated_ids_lose_only_duplicates(spark):
     text = lambda seed: " ".join(f"{seed}{i}" for i in range(40))
     near = " ".join([*text("a").split()[:-1], "end"])
