@@ -63,6 +63,12 @@ def eligible(season_user: DataFrame, season: DataFrame) -> DataFrame:
     return unsettled(_season_facts(season_user, season)).where(F.col("status") >= F.col("required_project_count"))
 
 
+def settlement_due(season_user: DataFrame, season: DataFrame, as_of: str) -> DataFrame:
+    """Unsettled formal participants of seasons that have ended by their status and their last day."""
+    over = season.where((F.col("status") == 2) & (F.col("end_date") < F.lit(as_of).cast("date")))
+    return unsettled(participants(season_user, over))
+
+
 def pending_due(proofs: DataFrame, as_of: str, wait: str) -> DataFrame:
     """Valid pending proofs that have waited at least ``wait`` (an interval such as '2 HOURS')."""
     since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {wait}")

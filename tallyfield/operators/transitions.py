@@ -31,6 +31,13 @@ def _set(frame: DataFrame, when: Column, **values: Column) -> DataFrame:
     return frame.withColumns({c: F.when(when, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def _within_touched(frame: DataFrame, touched: Column, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The frame with a window rule applied to the groups (season_user, project) of touched rows only; others are not dealt."""
+    groups = frame.where(touched).select(*windows.GROUP).distinct()
+    inside, outside = (frame.join(groups, list(windows.GROUP), how) for how in ("left_semi", "left_anti"))
+    return rule(inside).unionByName(outside)
+
+
 def update_progress(projects: DataFrame, proofs: DataFrame) -> DataFrame:
     """Projects with their progress summed anew from the proofs."""
     total = aggregates.progress(proofs).withColumnRenamed("completion_progress", "_total")
@@ -105,8 +112,9 @@ def reupload(proofs: DataFrame, commands: DataFrame, as_of: str) -> DataFrame:
     """commands (id, image_url): valid proofs get new content, lose their amounts, wait again; freed space is refilled."""
     hit = _marked(proofs, commands, ["id"], url="image_url")
     legal = F.col("_hit") & (F.col("status") == 1) & scalars.next_status(F.col("review_status"), F.lit("reupload")).isNotNull()
-    new = _set(hit, legal, image_url=F.col("_url"), review_status=F.lit("pending"), review_comment=F.lit(None), progress_delta=F.lit(0), increase=F.lit(0), created_at=F.lit(as_of).cast("timestamp_ntz"))
-    return _done(windows.refill(new), "proof_record")
+    hit = hit.withColumn("_legal", legal)
+    new = _set(hit, F.col("_legal"), image_url=F.col("_url"), review_status=F.lit("pending"), review_comment=F.lit(None), progress_delta=F.lit(0), increase=F.lit(0), created_at=F.lit(as_of).cast("timestamp_ntz"))
+    return _done(_within_touched(new, F.col("_legal"), windows.refill), "proof_record")
 
 
 def preliminary_review(proofs: DataFrame, results: DataFrame) -> DataFrame:
@@ -119,7 +127,7 @@ def preliminary_review(proofs: DataFrame, results: DataFrame) -> DataFrame:
     delta = F.when(F.col("_r.verdict"), F.col("_r.delta")).otherwise(0).cast("decimal(5,4)")
     fresh = hit.withColumn("_fresh", legal)
     new = _set(fresh, F.col("_fresh"), review_status=to, review_comment=F.col("_r.comment"), progress_delta=delta, increase=F.lit(0).cast("decimal(5,4)"))
-    return _done(windows.allocate_new(new, F.col("_fresh")), "proof_record")
+    return _done(_within_touched(new, F.col("_fresh"), lambda rows: windows.allocate_new(rows, F.col("_fresh"))), "proof_record")
 
 
 def _review(proofs: DataFrame, commands: DataFrame, action: str) -> DataFrame:
@@ -136,7 +144,7 @@ def final_approve(proofs: DataFrame, commands: DataFrame) -> DataFrame:
 def final_reject(proofs: DataFrame, projects: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """commands (id): rejected proofs lose their increase, others are refilled, progress is summed anew."""
     new = _set(_review(proofs, commands, "reject"), F.col("_legal"), review_status=F.col("_to"), increase=F.lit(0).cast("decimal(5,4)"))
-    done = _done(windows.refill(new), "proof_record")
+    done = _done(_within_touched(new, F.col("_legal"), windows.refill), "proof_record")
     return done, update_progress(projects, done)
 
 
@@ -144,7 +152,7 @@ def void_proof(proofs: DataFrame, projects: DataFrame, commands: DataFrame) -> t
     """commands (id): proofs become invalid, their space is refilled, progress is summed anew."""
     hit = _marked(proofs, commands, ["id"])
     new = _set(hit, F.col("_hit"), status=F.lit(0).cast("smallint"), increase=F.lit(0).cast("decimal(5,4)"))
-    done = _done(windows.refill(new), "proof_record")
+    done = _done(_within_touched(new, F.col("_hit"), windows.refill), "proof_record")
     return done, update_progress(projects, done)
 
 
@@ -167,7 +175,7 @@ def weight_final(proofs: DataFrame, users: DataFrame, season_user: DataFrame, we
     fresh = hit.withColumn("_fresh", legal)
     state = F.when(F.col("review_status") == "pending", "preliminary_approved").otherwise(F.col("review_status"))
     new = _set(fresh, F.col("_fresh"), review_status=state, progress_delta=F.lit(1).cast("decimal(5,4)"), increase=F.lit(0).cast("decimal(5,4)"))
-    return _done(windows.allocate_new(new, F.col("_fresh")), "proof_record")
+    return _done(_within_touched(new, F.col("_fresh"), lambda rows: windows.allocate_new(rows, F.col("_fresh"))), "proof_record")
 
 
 def season_status(season: DataFrame, commands: DataFrame) -> DataFrame:
@@ -192,11 +200,13 @@ def settle(
     season_user: DataFrame, season: DataFrame, projects: DataFrame, proofs: DataFrame, levels: DataFrame, points: DataFrame, as_of: str,
     policy: Callable[[dict[str, Column]], Column],
 ) -> tuple[DataFrame, DataFrame]:
-    """Set ``final_points`` of eligible rows by the caller's policy, and one reward row each; settled rows are never paid again.
+    """Set ``final_points`` of formal participants of ended seasons by the caller's policy, and one reward row each.
+
+    Settled rows are never paid again. Several due seasons of one user are booked one after the other.
 
     policy maps facts (reward, n_projects, n_completed, n_open, min_progress, required) to points.
     """
-    due = filters.eligible(season_user, season)
+    due = filters.settlement_due(season_user, season, as_of)
     level = levels.select(F.col("id").alias("level_id"), "reward")
     facts = aggregates.settlement_facts(season_user, projects, proofs)
     joined = due.join(level, "level_id", "left").join(facts, F.col("id") == F.col("season_user_id"), "left").drop("season_user_id")
@@ -209,9 +219,13 @@ def settle(
         (F.col("_last") + F.col("id")).alias("id"), "user_id", F.lit(None).alias("product_id"), F.lit("season_reward").alias("change_type"),
         F.col("_points").cast("int").alias("change_points"), F.lit(None).alias("description"), F.lit(1).alias("status"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
     )
-    before = aggregates.balance(points)
-    rows = rows.join(before, "user_id", "left").withColumn("points_after", F.coalesce("balance", F.lit(0)) + F.col("change_points"))
-    return _done(done, "season_user"), _done(rows, "point_record")
+    return _done(done, "season_user"), _booked(rows, points)
+
+
+def _booked(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """New ledger rows with ``points_after``: each user's balance in the ledger and the rows up to each, by (created_at, id)."""
+    own = windows.running_balance(rows).join(aggregates.balance(points), "user_id", "left")
+    return _done(own.withColumn("points_after", F.col("points_after") + F.coalesce("balance", F.lit(0))), "point_record")
 
 
 def exchange(points: DataFrame, products: DataFrame, commands: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
@@ -248,9 +262,7 @@ def manual_adjust(points: DataFrame, commands: DataFrame, as_of: str) -> DataFra
         "id", "user_id", F.lit(None).cast("bigint").alias("product_id"), F.lit("manual_adjust").alias("change_type"), "change_points", "description",
         F.lit(1).cast("smallint").alias("status"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
     )
-    held = aggregates.balance(points)
-    own = windows.running_balance(rows).join(held, "user_id", "left")
-    return _done(own.withColumn("points_after", F.col("points_after") + F.coalesce("balance", F.lit(0))), "point_record")
+    return _booked(rows, points)
 
 
 def void_ledger(points: DataFrame, commands: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..sources.adapter import MONTH_END, MONTH_START, Domain
 from ..sources.tables import conform, orphan_files
 from .oracle_tables import COUNTED, allocated, over, refilled
 
-AS_OF, AS_OF_TIME, WAIT = "2024-01-20", "2024-01-20 12:00:00", "2 HOURS"
+AS_OF, AS_OF_TIME, AFTER_TIME, WAIT = "2024-01-20", "2024-01-20 12:00:00", "2024-02-01 00:00:00", "2 HOURS"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,15 +463,26 @@ def all_or_share(facts: dict) -> F.Column:
     return F.when(facts["n_open"] < 100, F.least(share, F.coalesce(facts["reward"], F.lit(0))))
 
 
-_settled = lambda d: transitions.settle(d.season_user, d.season, d.season_user_project, d.proof_record, d.project_level, d.point_record, AS_OF_TIME, all_or_share)
-_PAID = """SELECT u.id, u.user_id, CASE WHEN n_open < 100 THEN CAST(least(coalesce(reward, 0) * n_completed // 3, coalesce(reward, 0)) AS BIGINT) END AS points
-    FROM season_user u JOIN facts ON facts.season_user_id = u.id LEFT JOIN project_level l ON l.id = u.level_id"""
-add("tr_settle", lambda d: _settled(d)[0].select("id", "final_points"), over("facts", "project_level", p=_PAID, select="SELECT id, points AS final_points FROM p"))
+def _settled(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """The running season is ended first, then settled on the first day after it."""
+    end = d.season.where("status = 1").select("id", F.lit(2).alias("to"))
+    return transitions.settle(d.season_user, transitions.season_status(d.season, end), d.season_user_project, d.proof_record, d.project_level, d.point_record, AFTER_TIME, all_or_share)
+
+
+_PAID = """SELECT u.id, u.user_id, CAST(least(l.reward * f.n_completed // 3, l.reward) AS BIGINT) AS points
+    FROM season_user u JOIN season s ON s.id = u.season_id AND s.status IN (1, 2) AND s.end_date < DATE '2024-02-01'
+    JOIN facts f ON f.season_user_id = u.id JOIN project_level l ON l.id = u.level_id
+    WHERE u.status = s.required_project_count AND u.participated_at IS NOT NULL AND u.final_points IS NULL AND f.n_open < 100"""
+add(
+    "tr_settle", lambda d: _settled(d)[0].select("id", "final_points"),
+    over("season_user", "season", "facts", "project_level", p=_PAID, select="SELECT u.id, coalesce(u.final_points, p.points) AS final_points FROM season_user u LEFT JOIN p ON p.id = u.id"),
+)
 add(
     "tr_settle_ledger",
     lambda d: _settled(d)[1].select("id", "user_id", "change_points", "points_after"),
-    over("facts", "project_level", "balance", p=_PAID, select="""SELECT (SELECT max(id) FROM point_record) + p.id AS id, p.user_id, CAST(points AS INTEGER) AS change_points,
-        coalesce(balance, 0) + points AS points_after FROM p LEFT JOIN balance b ON b.user_id = p.user_id WHERE points > 0"""),
+    over("season_user", "season", "facts", "project_level", "balance", p=_PAID, select="""SELECT (SELECT max(id) FROM point_record) + p.id AS id, p.user_id, CAST(p.points AS INTEGER) AS change_points,
+        CAST(coalesce(b.balance, 0) + sum(p.points) OVER (PARTITION BY p.user_id ORDER BY p.id) AS BIGINT) AS points_after
+        FROM p LEFT JOIN balance b ON b.user_id = p.user_id WHERE p.points > 0"""),
 )
 _orders = lambda d: d.user.where("CAST(id AS BIGINT) % 2 = 0").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.col("id").alias("user_id")).select(
     (9_000_000 + F.col("user_id").cast("long") * 2 + F.col("k")).alias("id"), "user_id", (1 + (F.col("user_id").cast("long") + F.col("k") * 7) % 100).alias("product_id"))

@@ -100,6 +100,29 @@ def test_settlement_pays_once(spark):
     assert more.count() == 0 and again.exceptAll(new).count() == 0
 
 
+def test_settlement_asks_for_an_ended_season_and_formal_participation(spark):
+    when = "2024-01-01 00:00:00"
+    rows = [(1, 1, "u", 1, when, None, 1), (2, 2, "u", 1, when, None, 1), (3, 3, "u", 1, when, None, 1), (4, 1, "v", 1, None, None, 1), (5, 1, "w", None, when, None, 1), (6, 1, "x", 1, when, None, 2), (7, 4, "y", 1, when, None, 1)]
+    su = conform(spark.createDataFrame(rows, "id long, season_id long, user_id string, level_id long, participated_at string, final_points long, status int"), "season_user")
+    seasons = [(1, "a", "2024-01-01", "2024-01-31", 1, 2), (2, "b", "2024-02-01", "2024-02-28", 1, 2), (3, "c", "2024-01-01", "2024-01-31", 1, 1), (4, "d", "2024-03-01", "2024-03-31", 1, 2)]
+    season = conform(spark.createDataFrame(seasons, "id long, name string, start_date string, end_date string, required_project_count int, status int"), "season")
+    projects = conform(spark.createDataFrame([(i, i, 1, "1", 1) for i in range(1, 8)], "id long, season_user_id long, project_id long, completion_progress string, status int"), "season_user_project")
+    levels = conform(spark.createDataFrame([(1, "gold", 300, 1)], "id long, name string, reward long, status int"), "project_level")
+    ledger = conform(spark.createDataFrame([], "id long, user_id string, product_id long, change_type string, change_points int, points_after long, description string, status int, created_at string"), "point_record")
+    new, paid = transitions.settle(su, season, projects, proofs(spark, []), levels, ledger, "2024-03-15 00:00:00", lambda f: f["reward"])
+    assert {r["id"]: r["final_points"] for r in new.collect()} == {1: 300, 2: 300, 3: None, 4: None, 5: None, 6: None, 7: None}
+    assert sorted((r["id"], r["user_id"], r["points_after"]) for r in paid.collect()) == [(1, "u", 300), (2, "u", 600)]
+
+
+def test_untouched_groups_stay(spark):
+    # group 2 has space and headroom, but no command touches it
+    day = "2024-01-0{} 00:00:00"
+    rows = [(1, 1, 1, "approved", "0.6", "0.6", 1, day.format(1)), (2, 1, 1, "approved", "0.6", "0.4", 1, day.format(2)), (3, 2, 1, "approved", "0.6", "0.1", 1, day.format(1))]
+    table = proofs(spark, rows)
+    done, _ = transitions.final_reject(table.withColumn("review_status", F.when(F.col("id") == 1, "preliminary_approved").otherwise(F.col("review_status"))), conform(spark.createDataFrame([], "id long, season_user_id long, project_id long, completion_progress string, status int"), "season_user_project"), spark.createDataFrame([(1,)], "id long"))
+    assert {r["id"]: float(r["increase"]) for r in done.collect()} == {1: 0.0, 2: 0.6, 3: 0.1}
+
+
 def test_month_rows_count(spark):
     day = "2024-01-0{} 00:00:00"
     start = proofs(spark, [(1, 1, 6, "approved", "0", "0", 1, day.format(1))], 6)
@@ -113,8 +136,8 @@ def test_functions(spark):
     frame = spark.createDataFrame([(50.0, 180.0), (90.0, 180.0), (95.0, 180.0), (80.0, None)], "kg double, cm double")
     targets = [r[0] for r in frame.select(scalars.bmi_target(scalars.bmi(F.col("kg"), F.col("cm")))).collect()]
     assert targets == [2, 3, 4, None]
-    rules = spark.createDataFrame([('[{"label":"每日步数","value":"8000步/天"},{"label":"达标天数","value":"累计20天"}]',)], "c string")
-    assert rules.select(scalars.rule_lines(F.col("c"))).first()[0] == ["每日步数：8000步/天", "达标天数：累计20天"]
+    rules = spark.createDataFrame([('[{"label":"游泳距离","value":"1500米"},{"label":"Lanes","value":"2 & 3"}]',)], "c string")
+    assert rules.select(scalars.rule_lines(F.col("c"))).first()[0] == ["游泳距离：1500米", "Lanes：2 & 3"]
     states = spark.createDataFrame([(None,), (0,), (5,)], "p long").select(filters.settlement_state(F.col("p"))).collect()
     assert [s[0] for s in states] == ["unsettled", "settled without reward", "settled with reward"]
 
