@@ -5,13 +5,19 @@ the first possibly shorter. Only the histogram of piece lengths reaches the driv
 length, whatever the corpus holds. There a configuration program (how many sequences of each multiset
 of lengths) is solved by multiplicative weights: lengths covered so far lose weight, an unbounded
 knapsack program prices the best completion of every length at once, and the configurations found get
-fractional multiplicities. These are rounded down, and what is left over is packed by best fit.
+fractional multiplicities. These are rounded down, and what is left over is packed by best fit, one
+bounded knapsack over the lengths at hand for each kind of sequence. The prices are a dual solution: they bound the number of sequences from below (``lower_bound``).
 
 Pieces are ranked within their length in two levels (chunks of rows, then a prefix sum over chunks), and
 meet the plan by intervals of ranks, so a length that many pieces share is never gathered in one task.
 
+A piece finds its place by a binary search in the plan's sorted intervals, which are bounded by the
+configurations and not by the corpus.
+
 Defined results: null and empty texts are the closing id alone; repeated rows are packed as rows of
-their own; an empty table gives an empty result.
+their own; pieces that tie in length are ranked by id, piece and checksum, those that tie in all have
+places of their own; very long texts are cut into pieces; extra columns of any name are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +34,11 @@ from . import common
 CAPACITY = 2048
 CLOSING_ID = 0
 ROUNDS, CONFIGURATIONS = 60, 64
+#: Part of each multiplicity that is made; the rest leaves all lengths to the last sequences.
+KEPT = 0.9
 CHUNK_ROWS = 50_000
+#: Bits of a rank in a place's key, beside the length.
+RANK_BITS = 48
 #: The special token of the vocabulary; as the tokenizers library does by default, its text is read as the token.
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -95,25 +105,48 @@ def _completed(first: int, take: np.ndarray, capacity: int) -> tuple[int, ...]:
     return tuple(sorted(out, reverse=True))
 
 
-def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit decreasing on a histogram; equal sequences are made at once."""
+def _fullest(left: np.ndarray, capacity: int) -> list[int]:
+    """Lengths at hand that fill a sequence best, the longest among them: a bounded knapsack over sets of sums, held as bits."""
+    longest = int(np.flatnonzero(left)[-1])
+    space, within = capacity - longest, (1 << (capacity - longest + 1)) - 1
+    sums, items, before = 1, [], []
+    for length in np.flatnonzero(left[: space + 1])[::-1].tolist():
+        many, take = min(int(left[length]) - (length == longest), space // length), 1
+        while many > 0:
+            take = min(take, many)
+            items.append((length, take))
+            before.append(sums)
+            sums |= sums << length * take & within
+            many, take = many - take, take * 2
+        if sums >> space & 1:
+            break
+    total, out = sums.bit_length() - 1, [longest]
+    # the shortest come last and are taken only where the longer ones do not reach the sum
+    for (length, take), reached in zip(items[::-1], before[::-1], strict=True):
+        if not reached >> total & 1:
+            out += [length] * take
+            total -= length * take
+    return out
+
+
+def _filled(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The best fit of each sequence in turn, longest pieces first; equal sequences are made at once."""
     plan = []
     while left.any():
-        space, config, used = capacity, [], np.zeros_like(left)
-        while True:
-            fits = np.flatnonzero((left - used)[: space + 1] > 0)
-            if not len(fits):
-                break
-            config.append(int(fits[-1]))
-            used[fits[-1]] += 1
-            space -= int(fits[-1])
-        lengths = np.flatnonzero(used)
-        times = int((left[lengths] // used[lengths]).min())
-        left[lengths] -= times * used[lengths]
-        plan.append((tuple(config), times))
+        config = _fullest(left, capacity)
+        lengths, times = np.unique(config, return_counts=True)
+        n = int((left[lengths] // times).min())
+        left[lengths] -= n * times
+        plan.append((tuple(sorted(config, reverse=True)), n))
     return plan
 
 
+def lower_bound(histogram: np.ndarray, capacity: int, prices: np.ndarray) -> int:
+    """Sequences that any plan needs: prices of lengths, scaled so that no configuration is worth more than one, price the demand."""
+    worth = _knapsack(prices, capacity)[0][capacity]
+    return int(np.ceil((histogram * prices).sum() / worth - 1e-9)) if worth > 0 else 0
+
+
 def solve(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (lengths, longest first) with how often to make each; they use up the histogram exactly."""
     demand = histogram.astype(np.int64)
@@ -145,13 +178,11 @@ def solve(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS)
     left, plan = demand.copy(), []
     for config, share in sorted(shares.items(), key=lambda x: (-sum(x[0]), -x[1])):
         lengths, times = np.unique(config, return_counts=True)
-        n = int(min(np.floor(share + 1e-9), (left[lengths] // times).min()))
+        n = int(min(np.floor(KEPT * share + 1e-9), (left[lengths] // times).min()))
         if n > 0:
             left[lengths] -= n * times
             plan.append((config, n))
-    plan += _best_fit(left, capacity)
-    plain = _best_fit(demand.copy(), capacity)
-    return min(plan, plain, key=lambda p: sum(n for _, n in p))
+    return plan + _filled(left, capacity)
 
 
 def intervals(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -185,12 +216,19 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     # one row per length: at most the capacity
     for row in pieces.groupBy("length").count().collect():
         histogram[row["length"]] = row["count"]
-    places = intervals(solve(histogram, capacity))
-    plan = spark.createDataFrame(places, "length long, low long, high long, first long, offset long")
-    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece")) - 1
-    ranked = placed.withColumn("within", within).join(starts, ["length", "chunk"]).withColumn("rank", F.col("within") + F.col("before"))
-    # the plan's size is bounded by the configurations, not by the corpus
-    inside = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    joined = ranked.join(F.broadcast(plan.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & inside)
-    sequence = (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id")
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", sequence, "offset")
+    # a place's key: its length, then its first rank
+    places = np.array(sorted(intervals(solve(histogram, capacity))), np.int64).reshape(-1, 5)
+    plan = spark.sparkContext.broadcast((places[:, 0] << RANK_BITS | places[:, 1], places[:, 3] - places[:, 1], places[:, 4]))
+
+    def placed_in(batches):
+        keys, shift, offset = plan.value
+        for batch in batches:
+            rank = batch.column("rank").to_numpy()
+            at = np.searchsorted(keys, batch.column("length").to_numpy() << RANK_BITS | rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(rank + shift[at]), pa.array(offset[at])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+
+    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    ranked = placed.withColumn("within", within).join(starts, ["length", "chunk"])
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    read = ranked.select(*columns, (F.col("within") + F.col("before")).cast("long").alias("rank"))
+    return read.mapInArrow(placed_in, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

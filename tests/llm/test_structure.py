@@ -161,7 +161,30 @@ def test_plans_use_up_the_histogram(seed):
         assert sum(config) <= 256 and n > 0
         np.add.at(used, list(config), n)
     assert (used == histogram).all()
-    assert sum(n for _, n in plan) <= 1.05 * -(-(histogram * np.arange(257)).sum() // 256) + (1 if seed else 0)
+    made, prices = sum(n for _, n in plan), np.arange(257) / 256
+    assert packing.lower_bound(histogram, 256, prices) >= -(-(histogram * np.arange(257)).sum() // 256)
+    assert made <= 1.02 * packing.lower_bound(histogram, 256, prices) + (1 if seed else 0)
+
+
+def test_dual_bound_sees_more_than_the_sum():
+    histogram = np.zeros(101, np.int64)
+    histogram[60] = 10  # no two fit together
+    prices = np.zeros(101)
+    prices[51:] = 1
+    assert packing.lower_bound(histogram, 100, prices) == 10 == sum(n for _, n in packing.solve(histogram, 100))
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.01"])
+def test_program_reaches_the_bound(name):
+    import pyarrow.parquet as pq
+
+    encode = packing.encoder(tokenizer_path("byte_bpe_50k.json")).encode_to_numpy
+    histogram = np.zeros(2049, np.int64)
+    for text in pq.read_table(f"/root/testdata/{name}/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(encode(text or "", allowed_special="all")) + 1
+        histogram[2048] += (n - 1) // 2048
+        histogram[(n - 1) % 2048 + 1] += 1
+    assert sum(n for _, n in packing.solve(histogram)) <= packing.lower_bound(histogram, 2048, np.arange(2049) / 2048) + 1
 
 
 def test_piece_counts(spark):
