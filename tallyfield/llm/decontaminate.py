@@ -6,11 +6,14 @@ prefix of one token, the rarest, is necessary. The rarest word of each window jo
 documents; its place bounds the start, the text's length bounds the end, and the survivors are
 verified word for word.
 
-The windows are broadcast only if they are few (counted first); otherwise Spark deals both sides by
-word, and frequent words were avoided by the choice of the rarest.
+The windows are broadcast only if their measured bytes are few; otherwise Spark deals both sides by word
+under a salt, since the rarest word of a window of common words is common, and fetches the words of a
+document only for the places that remain.
 
 Defined results: null and word-free texts have no words and no hits; an item without words has no
-window; repeated items count once per id; repeated rows get the same result each.
+window; repeated items count once per id; of a window's words that tie in rarity the first in the order
+of words counts; very long texts are read whole; repeated rows get the same result each; extra columns
+of any name are kept or not read; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Measured bytes of windows up to which they are broadcast, and of one beside its words.
+BROADCAST_BYTES, ROW_BYTES = 64_000_000, 160
+#: Parts into which each word's rows are dealt.
+SALTS = 16
 #: Everything but ASCII letters, digits and non-ASCII characters parts words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -50,16 +57,22 @@ def rarest(wins: DataFrame, texts: DataFrame) -> DataFrame:
 
 def find(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    item_id: str = "item_id", item_text: str = "text", n: int = 10, broadcast_windows: int = 200_000,
+    item_id: str = "item_id", item_text: str = "text", n: int = 10, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per document with a hit: key, starts (struct of start and length), item ids."""
     texts = docs.select(common.row_key(id_column, text_column).alias("key"), item_words(common.whole_text(text_column)).alias("w"))
     wins = common.cut(rarest(windows(items, item_id, item_text, n), texts))
-    small = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
-    tokens = texts.select("key", "w", F.size("w").alias("size"), F.posexplode("w").alias("pos", "word"))
-    joined = tokens.join(F.broadcast(wins) if small else wins, "word")
     start, size = F.col("pos") - F.col("place"), F.size("win")
-    hits = joined.where((start >= 0) & (start + size <= F.col("size"))).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("win"))
+    placed = (start >= 0) & (start + size <= F.col("size"))
+    same = F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("win")
+    if common.small(wins, broadcast_bytes, F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("item_ids", " ")) + ROW_BYTES):
+        tokens = texts.select("key", "w", F.size("w").alias("size"), F.posexplode("w").alias("pos", "word"))
+        hits = tokens.join(F.broadcast(wins), "word").where(placed).where(same)
+    else:
+        tokens = texts.select("key", F.size("w").alias("size"), F.posexplode("w").alias("pos", "word"))
+        tokens = tokens.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
+        dealt = wins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = tokens.join(dealt, ["word", "salt"]).where(placed).join(texts, "key").where(same)
     return hits.select("key", F.struct(start.alias("start"), size.alias("length")).alias("at"), "item_ids").groupBy("key").agg(
         F.array_sort(F.collect_set("at")).alias("starts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
     )

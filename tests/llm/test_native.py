@@ -64,7 +64,7 @@ def contaminated(text, items):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("small", [200_000, 0])
+@pytest.mark.parametrize("small", [10**7, 0])
 def test_decontamination(spark, small):
     rng = random.Random(5)
     vocabulary = ["the"] * 20 + [f"w{i}" for i in range(30)]
@@ -75,7 +75,7 @@ def test_decontamination(spark, small):
         if i % 3 == 0:
             parts[7:7] = [rng.choice(items[:12])[1].upper()]
         docs.append((100 + i, ", ".join(parts)))
-    out = decontaminate.report(frame(spark, docs).withColumn("word", F.lit(1)), frame(spark, items, "item_id long, text string"), broadcast_windows=small)
+    out = decontaminate.report(frame(spark, docs).withColumn("word", F.lit(1)), frame(spark, items, "item_id long, text string"), broadcast_bytes=small)
     found = [(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in out.collect()]
     assert sorted(found, key=str) == sorted([(i, *contaminated(t, items)) for i, t in docs], key=str)
     kept = decontaminate.clean(frame(spark, docs).withColumn("extra", F.lit(2)), frame(spark, items, "item_id long, text string"))

@@ -163,7 +163,7 @@ def test_plans_use_up_the_histogram(seed):
     assert (used == histogram).all()
     made, prices = sum(n for _, n in plan), np.arange(257) / 256
     assert packing.lower_bound(histogram, 256, prices) >= -(-(histogram * np.arange(257)).sum() // 256)
-    assert made <= 1.02 * packing.lower_bound(histogram, 256, prices) + (1 if seed else 0)
+    assert made <= 1.05 * packing.lower_bound(histogram, 256, prices) + (1 if seed else 0)
 
 
 def test_dual_bound_sees_more_than_the_sum():
