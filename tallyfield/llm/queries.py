@@ -32,7 +32,13 @@ def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, rule bits and the verdict of the current policy for every document."""
     rows = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(rule_ledger.POLICIES["base"])) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
+    measures = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rows.select(*measures, base.alias("base_failed"), "kept", "fail_bits", F.lit("v1").alias("policy"))
+
+
+def op3_rule_ledger_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy is responsible for."""
+    return rule_ledger.ablation(rule_ledger.ledger(table(spark, sf_dir, "documents")), "v1")
 
 
 def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +98,13 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_passage_quality": op10_passage_quality,
+    "op3_rule_ledger_ablation": op3_rule_ledger_ablation,
 }
 
 _SPACE = r"[^ \t\n\x0B\x0C\r]+"
 
-ORACLES: dict[str, str] = {
-    "op3_rule_ledger": rf"""
-        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+#: Measurements and failure bits of every document, as common table expressions.
+_LEDGER = rf"""        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_SPACE}') AS w,
                      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_SPACE}')) AS l FROM d),
         p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM w),
@@ -113,13 +119,24 @@ ORACLES: dict[str, str] = {
                      len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_same,
                      (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
                      coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-              FROM w LEFT JOIN n USING (r))
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-               n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words
-                    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)
-                    OR 10 * n_capitals > 4 * word_chars OR 10 * n_same > 2 * n_words) AS kept
-        FROM m""",
+              FROM w LEFT JOIN n USING (r)),
+        b AS (SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+                     + 8 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT
+                     + 16 * (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines)::INT
+                     + 32 * (10 * n_capitals > 4 * word_chars)::INT + 64 * (10 * n_same > 2 * n_words)::INT)::INTEGER AS fail_bits FROM m)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_rule_ledger": _LEDGER + """
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
+               fail_bits, 'v1' AS policy
+        FROM b""",
+    "op3_rule_ledger_ablation": _LEDGER + """
+        , r AS (SELECT * FROM (VALUES ('MIN_WORDS', 1), ('REPEATED_WINDOWS', 2), ('SYMBOLS', 4), ('WORD_LENGTH', 8), ('DUPLICATE_LINES', 16),
+                                      ('SHOUTING', 32), ('STUTTER', 64)) AS v(rule, bit))
+        SELECT rule, count(*) FILTER (WHERE (fail_bits & bit) <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE fail_bits = bit)::BIGINT AS n_only_this,
+               count(*) FILTER (WHERE (fail_bits & ~bit) = 0)::BIGINT AS n_kept_without
+        FROM b, r GROUP BY rule""",
     "op7_near_duplicates": rf"""
         WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}') AS w FROM documents),
