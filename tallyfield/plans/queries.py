@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..operators import aggregates, audits, filters, joins, migrations, sorts, transitions, windows
 from ..schema import TABLES, foreign_keys, unique_keys
 from ..sources.adapter import MONTH_END, MONTH_START, Domain
-from ..sources.tables import conform, orphan_files
+from ..sources.tables import VersionedStore, append_ledger, conform, orphan_files, scan, scan_images, scratch, write_snapshot
 from .oracle_tables import COUNTED, allocated, over, refilled
 
 AS_OF, AS_OF_TIME, AFTER_TIME, WAIT = "2024-01-20", "2024-01-20 12:00:00", "2024-02-01 00:00:00", "2 HOURS"
@@ -47,6 +47,38 @@ add(
     lambda d: orphan_files(d.proof_record.select(F.col("image_url").alias("path")), d.proof_record.where("id % 9 <> 0")),
     over("proof_record", select="SELECT image_url FROM proof_record WHERE id % 9 = 0"),
 )
+add("scan_image", lambda d: scan_images(d.spark, d.root, "region.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("name")).distinct(), "SELECT 'region.parquet' AS name")
+
+
+def _replaced(d: Domain) -> DataFrame:
+    """A snapshot written over an older one, read back."""
+    root = scratch(d.spark)
+    for rows in (d.leaderboard_snapshot.withColumn("checkin_count", F.col("checkin_count") + 1), d.leaderboard_snapshot):
+        write_snapshot(rows, f"{root}/leaderboard_snapshot")
+    return scan(d.spark, root, "leaderboard_snapshot")
+
+
+def _appended(d: Domain) -> DataFrame:
+    """A ledger written in two parts, the second one twice, read back."""
+    root = scratch(d.spark)
+    append_ledger(d.point_record.where("id % 2 = 0"), f"{root}/point_record")
+    for _ in range(2):
+        append_ledger(d.point_record.where("id % 2 = 1"), f"{root}/point_record", once=True)
+    return scan(d.spark, root, "point_record")
+
+
+def _committed(d: Domain) -> DataFrame:
+    """Two tables committed together, then one of them changed; both read back through the pointer."""
+    store = VersionedStore(d.spark, scratch(d.spark))
+    store.commit({"season": d.season, "product": d.product})
+    store.commit({"season": d.season.withColumn("status", F.lit(2))})
+    rows = lambda name: store.read(name).select(F.lit(name).alias("name"), "id", "status")
+    return rows("season").union(rows("product"))
+
+
+for _sink, _table, _query in (("sink_leaderboard", "leaderboard_snapshot", _replaced), ("sink_ledger", "point_record", _appended)):
+    add(_sink, _query, over(_table, select=f"SELECT {_columns(_table)} FROM {_table}"))
+add("sink_state", _committed, over("season", "product", select="SELECT 'season' AS name, id, CAST(2 AS SMALLINT) AS status FROM season UNION ALL SELECT 'product', id, status FROM product"))
 add(
     "migrate_add_progress",
     lambda d: migrations.add_progress(d.season_user_project.drop("completion_progress")),

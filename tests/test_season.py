@@ -157,6 +157,9 @@ def test_sinks(spark, tmp_path):
     append_ledger(row, f"{tmp_path}/point_record")
     append_ledger(row, f"{tmp_path}/point_record")
     assert scan(spark, str(tmp_path), "point_record").count() == 2
+    append_ledger(row.withColumn("id", F.lit(2)), f"{tmp_path}/point_record", once=True)
+    append_ledger(row.withColumn("id", F.lit(2)), f"{tmp_path}/point_record", once=True)
+    assert scan(spark, str(tmp_path), "point_record").count() == 3
     store = VersionedStore(spark, f"{tmp_path}/store")
     store.commit({"leaderboard_snapshot": snap, "point_record": row})
     store.commit({"leaderboard_snapshot": store.read("leaderboard_snapshot").withColumn("checkin_count", F.lit(7))})
@@ -189,3 +192,15 @@ def test_image_scan_finds_orphans(spark, tmp_path):
     found = scan_images(spark, str(tmp_path))
     kept = spark.createDataFrame([(f"file:{tmp_path}/a.jpg",)], "image_url string")
     assert [r[0].rsplit("/", 1)[1] for r in orphan_files(found, kept).collect()] == ["b.jpg"]
+
+
+def test_a_second_writer_fails(spark, tmp_path):
+    store = VersionedStore(spark, f"{tmp_path}/held")
+    product = conform(spark.createDataFrame([(1, "p", None, 5, None, 1)], "id long, name string, description string, points_required long, image_url string, status int"), "product")
+    store.commit({"product": product})
+    (tmp_path / "held" / "LOCK").touch()
+    with pytest.raises(RuntimeError, match="another commit"):
+        store.commit({"product": product})
+    (tmp_path / "held" / "LOCK").unlink()
+    store.commit({"product": product.withColumn("name", F.lit("q"))})
+    assert store.read("product").first()["name"] == "q" and not (tmp_path / "held" / "LOCK").exists()
