@@ -14,9 +14,9 @@ contexts, so that copies of one passage prove nothing. In every document, whethe
 or not, terms whose disclosure reaches ``remove_at`` are removed, those that reach ``generalise_at``
 become ``[TERM]``.
 
-Everything is DataFrame code. Only terms that stand near an entity often enough are counted in the whole
-corpus, pre-aggregated before they are dealt; entities are joined under a salt, since one may hold a large
-part of all rows. Candidate and chosen terms are broadcast if their measured bytes are few, else dealt.
+Everything is DataFrame code. Terms are counted within tasks before they are dealt; entities are joined
+under a salt, since one may hold a large part of all rows. Chosen terms are broadcast if their measured
+bytes are few, else dealt.
 Places are running sums, so texts with many spans take time in proportion.
 
 Defined results: null and empty texts have no spans; repeated rows get the same spans each; of terms and
@@ -147,7 +147,8 @@ def disclosures(texts: DataFrame, near: int, support: int) -> DataFrame:
         .where(F.col("n_seen") >= support)
     )
     pairs = common.cut(pairs)
-    n_term = held(texts, pairs.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_t"))
+    # candidates grow towards the whole vocabulary, so terms are counted first, within tasks, and few rows meet
+    n_term = _vocabulary(texts).groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(n_term, "term").withColumn("n", F.lit(texts.count()))
     mutual = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
     share = F.when(F.col("n") > F.col("n_e"), F.least(mutual / F.log2(F.col("n") / F.col("n_e")), F.lit(1.0))).otherwise(0.0)
@@ -156,9 +157,12 @@ def disclosures(texts: DataFrame, near: int, support: int) -> DataFrame:
 
 def held(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, the columns of terms) for each document and each of the terms that it holds."""
-    vocabulary = F.array_distinct(F.transform(common.words(F.lower("text")), bare))
     few = common.small(terms, BROADCAST_BYTES, F.octet_length("term") + ROW_BYTES)
-    return texts.select("key", F.explode(vocabulary).alias("term")).join(F.broadcast(terms) if few else terms, "term")
+    return _vocabulary(texts).join(F.broadcast(terms) if few else terms, "term")
+
+
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    return texts.select("key", F.explode(F.array_distinct(F.transform(common.words(F.lower("text")), bare))).alias("term"))
 
 
 def disclosing(texts: DataFrame, near: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
