@@ -228,3 +228,37 @@ def test_pipeline_stages(spark):
     left = classes([(r["doc_id"], r["text"]) for r in docs.collect()], 5)
     assert sum(k != c for k, _, c in left) <= 2  # tags of the personal data stage may make texts equal again
     assert not docs.where(docs.text.rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9-]+")).count()
+
+
+CLASHING = ("row", "key", "base", "spans", "label", "node", "score", "predicted", "held_out", "word", "length", "n", "n_chars")
+
+
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    plain = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    item = plain(12)
+    copy = plain(50)
+    docs = [(1, None), (2, ""), (None, None), (None, plain(30)), (None, plain(30)), (3, "mail a@b.org now"), (4, copy), (5, copy), (5, copy), (6, plain(5) + " " + item), (7, "solo"), (8, "long " * 60_000 + plain(10))]
+    rows = frame(spark, docs).withColumns({c: F.lit(7) for c in CLASHING})
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame(spark, [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    ids = sorted(int(i) for i in out["doc_id"].dropna().unique())
+    assert ids == [1, 2, 3, 4, 7, 8] and out["doc_id"].isna().sum() == 3
+    stage = dict(corpus_pipeline.STAGES)
+    clean = stage["personal_data"](spark, rows, str(tmp_path))
+    assert clean.columns == rows.columns and {r["text"] for r in clean.where("doc_id = 3").collect()} == {"mail [EMAIL] now"}
+    assert clean.where("doc_id = 3 and n_chars = 16").count() == 1 and clean.where("doc_id = 1 and text is null").count() == 1
+    none = rows.where("false")
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_piece_counts_of_odd_tables(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    docs = frame(spark, EDGE).withColumns({c: F.lit("x") for c in (*CLASHING, "n_words", "n_pieces")})
+    out = piece_counts.count(docs, path)
+    assert out.columns == ["doc_id", "n_words", "n_pieces"] and out.count() == len(EDGE) and piece_counts.count(docs.where("false"), path).count() == 0
