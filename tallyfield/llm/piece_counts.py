@@ -7,7 +7,8 @@ is ever built. A word is matched with the space before it, and every byte is a p
 have a count. Words of a batch are walked side by side, each distinct word once.
 
 Rows are independent: no shuffle. Defined results: null and empty texts have no words and no pieces;
-repeated rows are counted alike; an empty table gives an empty result.
+repeated rows and ties are counted alike; very long texts are read whole; extra columns of any name are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ responsible for by bitwise operations on a histogram of masks. Native expression
 row leaves its partition.
 
 Defined results: a null text counts as empty (no words, every measurement 0, fails MIN_WORDS);
-repeated rows are measured alike; an empty table gives an empty ledger.
+repeated rows and ties are measured alike, on a threshold a rule does not fail; very long texts are read
+whole; extra columns of any name are not read; an empty table gives an empty ledger and no ablation.
 """
 
 from __future__ import annotations
