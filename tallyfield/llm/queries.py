@@ -28,6 +28,11 @@ def op2_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sanitisation_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base part of ``op2_sanitisation``, which SQL can express."""
+    return op2_sanitisation(spark, sf_dir).drop("spans")
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, rule bits and the verdict of the current policy for every document."""
     rows = rule_ledger.apply_policy(rule_ledger.ledger(table(spark, sf_dir, "documents")), "v1")
@@ -98,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
     "op10_passage_quality": op10_passage_quality,
+    "op2_sanitisation_base": op2_sanitisation_base,
     "op3_rule_ledger_ablation": op3_rule_ledger_ablation,
 }
 
@@ -126,7 +132,32 @@ _LEDGER = rf"""        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coal
                      + 32 * (10 * n_capitals > 4 * word_chars)::INT + 64 * (10 * n_same > 2 * n_words)::INT)::INTEGER AS fail_bits FROM m)
 """
 
+#: The base patterns in their plain form, with the test of a match.
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right(x, 3) AS INTEGER) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"""length({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN CAST({_DIGITS}[-i] AS INTEGER) WHEN CAST({_DIGITS}[-i] AS INTEGER) > 4 THEN 2 * CAST({_DIGITS}[-i] AS INTEGER) - 9
+             ELSE 2 * CAST({_DIGITS}[-i] AS INTEGER) END)) % 10 = 0"""),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+)
+
 ORACLES: dict[str, str] = {
+    "op2_sanitisation_base": "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), "
+    + ", ".join(
+        f"""{kind} AS (SELECT r, '{kind}' AS kind, {o} AS o, v, a + coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) AS a FROM (
+            SELECT r, i, m[i] AS v, s, coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+            FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS s FROM d),
+                 LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i)) WHERE {test})"""
+        for o, (kind, pattern, test) in enumerate(_BASE)
+    )
+    + """, x AS (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone),
+        y AS (SELECT r, count_if(o = 0) AS e, count_if(o = 1) AS i, count_if(o = 2) AS c, count_if(o = 3) AS p,
+                     string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(v) AS BIGINT), ',' ORDER BY a, o) AS told FROM x GROUP BY r)
+        SELECT doc_id, coalesce(e, 0)::BIGINT AS n_email, coalesce(i, 0)::BIGINT AS n_ip, coalesce(c, 0)::BIGINT AS n_card, coalesce(p, 0)::BIGINT AS n_phone,
+               sha256(coalesce(told, '')) AS base_sha256
+        FROM d LEFT JOIN y USING (r)""",
     "op3_rule_ledger": _LEDGER + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept,
                fail_bits, 'v1' AS policy
