@@ -37,7 +37,7 @@ from . import common
 DEPTH = 5
 BLOCK_BYTES, SLICE_BYTES, MERGE_ROWS = 20_000_000, 1_000_000, 1_500_000
 #: Measured bytes of gram scores up to which they are broadcast, else dealt, and of one of them.
-BROADCAST_BYTES, SCORE_BYTES = 48_000_000, 16
+BROADCAST_BYTES, SCORE_BYTES = 160_000_000, 80
 
 
 def tokens(texts: pa.ChunkedArray | pa.Array) -> pa.ListArray:
